@@ -59,17 +59,13 @@ def dictionary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = N
     if not len(starts):
         return np.zeros(0, np.int64), pa.array([], pa.binary())
     if ends is None:
-        places, keep = np.append(starts, len(data)), None
-    else:  # pieces with gaps between: the gaps are pieces too and are left out afterwards
-        places = np.empty(2 * len(starts) + 1, np.int64)
-        places[0:-1:2], places[1::2], places[-1] = starts, ends, len(data)
-        keep = slice(0, 2 * len(starts), 2)
-        places[-1] = ends[-1]
-        places = places[:-1]
+        places = np.append(starts, len(data))
+    else:  # the gaps between pieces are pieces too, left out afterwards
+        places = np.stack([starts, ends], 1).ravel()
     kind = pa.large_binary() if places[-1] >= 1 << 31 else pa.binary()
     buffer = pa.py_buffer(np.ascontiguousarray(places.astype(np.int64 if kind == pa.large_binary() else np.int32)))
     pieces = pa.Array.from_buffers(kind, len(places) - 1, [None, buffer, pa.py_buffer(np.ascontiguousarray(data))])
-    if keep is not None:
+    if ends is not None:
         pieces = pieces.take(pa.array(np.arange(0, len(places) - 1, 2)))
     found = pieces.dictionary_encode()
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
