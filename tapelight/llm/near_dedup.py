@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import dictionary, slices, utf8, words
-from .components import components
+from .linking import link, shared_keys
 from .scratch import table
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
 #: Signatures further apart than this aren't confirmed: sets of similarity 0.8 are with a probability under 1e-6.
 FAR = 26
-HUB_ROUNDS = 2
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -184,34 +182,10 @@ def near_groups(documents: DataFrame, k: int = 5, percent: int = 80, id_column:
     real = slim.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # signatures of equal sets are equal: the larger is the same
     representatives = table(real.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature")))
-    keys = keyed(representatives)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    index = table(keys.join(shared, "key"))  # keys with one member lead nowhere
-    members = index.select("id").distinct()
-    sets = table(full_sets(documents.join(members.select(F.col("id").alias(id_column)), id_column, "left_semi").dropDuplicates([id_column]), k, id_column, text_column))
-    links: list[DataFrame] = []
-    labels: DataFrame | None = None
-
-    def similar_size(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    for step in range(HUB_ROUNDS + 1):
-        now = index
-        if labels is not None:
-            now = index.join(labels.select("id", "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-            mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-            now = now.join(mixed, "key")
-        else:
-            now = now.withColumn("component", F.col("id"))
-        if step < HUB_ROUNDS:  # everything under a key against one hub
-            hub = now.groupBy("key").agg(F.min_by(F.struct("id", "n", "component"), F.struct(F.xxhash64("id", F.lit(step)) if step else F.col("id"), "id")).alias("hub"))
-            pairs = now.join(hub, "key").where((F.col("component") != F.col("hub.component")) & similar_size("n", "hub.n")).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
-        else:  # what is left: pairs under a key in different components
-            other = now.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-            pairs = now.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("component_b")) & similar_size("n", "n_b")).select(F.col("id").alias("a"), "b")
-        links.append(table(confirmed(near_signatures(pairs.distinct(), representatives), sets, percent)))
-        if step < HUB_ROUNDS or not links[-1].isEmpty():
-            labels = components(reduce(DataFrame.unionByName, links))
+    index = table(shared_keys(keyed(representatives)))
+    members = index.select(F.col("id").alias(id_column)).distinct()
+    sets = table(full_sets(documents.join(members, id_column, "left_semi").dropDuplicates([id_column]), k, id_column, text_column))
+    labels = link(index, lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m), lambda pairs: confirmed(near_signatures(pairs, representatives), sets, percent))
     of_set = representatives.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     rest = slim.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = real.join(of_set, "set_id").select("doc_id", "n_shingles", "component_id").unionByName(rest)

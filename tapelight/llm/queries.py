@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, near_dedup, packing, quality
+from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(read(spark, sf_dir, "documents")).drop("redacted")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -27,6 +35,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash_near_dedup, op5_exact_dedup, op8_byte_bpe, op9_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_pii, op3_line_dedup, op4_minhash_near_dedup, op5_exact_dedup, op7_url_filter, op8_byte_bpe, op9_quality_rules, op10_best_fit_packing)}
 
 
 #: SQL for the same rows, where SQL can express them.
