@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, url_filter
+from . import byte_bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, quality, token_file, url_filter
+from .scratch import folder
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +20,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    token_file.write_ids(read(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_file.read_ids(spark, path, ids=False)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(read(spark, sf_dir, "documents")).drop("redacted")
 
@@ -35,6 +42,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -55,7 +66,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_line_dedup, op4_minhash_near_dedup, op5_exact_dedup, op7_url_filter, op8_byte_bpe, op9_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_pii, op3_line_dedup, op4_minhash_near_dedup, op5_exact_dedup, op6_html_extraction, op7_url_filter, op8_byte_bpe, op9_quality_rules, op10_best_fit_packing)}
 
 
 #: SQL for the same rows, where SQL can express them.
