@@ -319,6 +319,30 @@ def find_spans(documents: DataFrame, id_column: str = "doc_id", text_column: str
     return documents.selectExpr(f"`{id_column}` AS doc_id", f"coalesce(`{text_column}`, '') AS text", f"`{text_column}` IS NOT NULL AS there").mapInArrow(run, schema)
 
 
+def redact_documents(documents: DataFrame, text_column: str = "text", size_column: str = "n_chars") -> DataFrame:
+    """The documents with spans replaced by their kinds; `size_column`, where there is one, is set to the new size.
+
+    All other columns, whatever their names and types, come back as they were. Null text stays null.
+    """
+    model = train()
+    schema = documents.schema
+    text, size = schema.fieldNames().index(text_column), schema.fieldNames().index(size_column) if size_column in schema.fieldNames() else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown = []
+            for value in batch.column(text).to_pylist():
+                base = base_spans(value or "")
+                shown.append(value if value is None else redact(value, base + added_spans(model, value, base)))
+            columns = list(batch.columns)
+            columns[text] = pa.array(shown, pa.string())
+            if size is not None:
+                columns[size] = pa.array([old if new is None else len(new) for new, old in zip(shown, columns[size].to_pylist(), strict=True)], pa.int64()).cast(columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return documents.mapInArrow(run, schema)
+
+
 def redact(text: str, spans: list[Span]) -> str:
     """The text with every span replaced; of overlapping spans the first names the kind."""
     out, at = [], 0
