@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import table
 
-HUB_ROUNDS = 2
+#: Keys of an id are taken up in this many turns: see `turn_of`.
+TURNS = 3
+FEW = 16
+
+
+def turn_of(place: int) -> int:
+    """The turn in which the key at a place of an id's list of keys is taken up: the first, the next four, the rest."""
+    return 0 if place == 0 else 1 if place < 5 else 2
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -20,33 +27,41 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.join(many, "key")
 
 
-def link(index: DataFrame, fits: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int = HUB_ROUNDS) -> DataFrame:
+def link(index: DataFrame, fits: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], dense: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """id, component of all ids that some confirmed pair links.
 
-    index: key, id, n; fits(n, m) is a cheap test of a pair; confirm(pairs) keeps the pairs (a, b) that are linked.
-    In each of `rounds` rounds every member of a key is compared with one hub only, another one each time, unless
-    both are in one component already. Then whatever pairs of a key still lie in different components are all
-    compared, so every link between different components is found.
+    index: key, id, n, turn; fits(n, m) is a cheap test of a pair; confirm(pairs) keeps the pairs (a, b) that are linked.
+    In each turn every id under one of the turn's keys is compared with one id only, its key's hub, unless both are in
+    one component already; the hub is of the key's largest component so far, so that what is linked already costs
+    nothing. Then whatever pairs of any key still lie in different components are all compared, so every link
+    between different components is found. If `dense` is given, it does this for keys with more than FEW ids left
+    (key, id, n, component), and returns links (a, b), without a row for each pair.
     """
     links: list[DataFrame] = []
     labels: DataFrame | None = None
-    for step in range(rounds + 1):
+    for turn in range(TURNS + 1):
+        now = index.where(F.col("turn") == turn) if turn < TURNS else index
         if labels is None:
-            now = index.withColumn("component", F.col("id"))
+            now = now.select("key", "id", "n", F.col("id").alias("component"), F.lit(1).cast("long").alias("size"))
         else:
-            now = index.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+            sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+            now = now.join(labels.join(sizes, "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
             mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
             now = now.join(mixed, "key")
-        if step < rounds:
-            order = F.struct(F.xxhash64("id", F.lit(step)), "id") if step else F.col("id")
-            hubs = now.groupBy("key").agg(F.min_by(F.struct("id", "n", "component"), order).alias("hub"))
+        if turn < TURNS:
+            hubs = now.groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), F.struct("size", F.xxhash64("component"), F.xxhash64("id"), "id")).alias("hub"))
             met = now.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
             pairs = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
         else:
+            if dense is not None:
+                now = table(now.join(now.groupBy("key").agg(F.count(F.lit(1)).alias("ids")), "key"))
+                links.append(table(dense(now.where(F.col("ids") > FEW))))
+                now = now.where(F.col("ids") <= FEW)
             other = now.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
             met = now.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & fits(F.col("n"), F.col("m")))
             pairs = met.select(F.col("id").alias("a"), "b")
         links.append(table(confirm(pairs.distinct())))
-        if step < rounds or not links[-1].isEmpty():
+        new = links[-2:] if turn == TURNS and dense is not None else links[-1:]
+        if labels is None or not all(found.isEmpty() for found in new):
             labels = components(reduce(DataFrame.unionByName, links))
     return labels

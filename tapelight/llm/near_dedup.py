@@ -9,10 +9,13 @@ differ in 10 on average and fail to meet under any key with a probability of 2 i
 
 Pairs are never expanded within a group:
 * equal sets are one representative from the start;
-* under each key everything is compared with one hub only, the hub being another in each round, and what was linked
-  already is left out; after those rounds only pairs under a key that lie in different components remain, and all
-  of these are compared, so that no link between different components is lost;
-* a pair is confirmed on its full sets, and only if its signatures are near enough.
+* keys are taken up in turns, and under each key everything is compared with one hub only, of the key's largest
+  component so far, and what was linked already is left out; after the turns only pairs under a key that lie in
+  different components remain, and all of these are compared, so that no link between components is lost;
+* a pair is confirmed on its full sets, and only if its signatures are near enough;
+* groups of many texts that are alike, but not enough to be linked, leave many pairs to compare in the end. These are
+  compared block by block inside tasks, first signatures, then full sets as products of incidence matrices. Only
+  links come out, one for each two components; a task holds two blocks, however large the group.
 """
 
 from __future__ import annotations
@@ -21,17 +24,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import dictionary, slices, utf8, words
-from .linking import link, shared_keys
+from .components import components
+from .linking import link, shared_keys, turn_of
 from .scratch import table
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
-#: Signatures further apart than this aren't confirmed: sets of similarity 0.8 are with a probability under 1e-6.
-FAR = 26
+#: Signatures further apart than this aren't confirmed: sets of similarity 0.8 are with a probability of 1e-5.
+FAR = 24
+#: Ids of one task: of signatures, and of full sets.
+SIGNATURES, SETS = 2048, 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,19 +140,20 @@ def full_sets(documents: DataFrame, k: int, id_column: str, text_column: str) ->
 
 
 def keyed(representatives: DataFrame) -> DataFrame:
-    """key, id, n: a row for each key of each representative."""
+    """key, id, n, turn: a row for each key of each representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = np.array([turn_of(k) for k in range(CHUNKS * WIDTH**ERRORS)], np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 signatures = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(part.num_rows, CHUNKS * WIDTH)
                 keys = index_keys(signatures)
                 rows = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column("id").take(rows), part.column("n").take(rows)], ["key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column("id").take(rows), part.column("n").take(rows), pa.array(np.tile(turns[: keys.shape[1]], part.num_rows))], ["key", "id", "n", "turn"])
 
     kind = representatives.schema["id"].dataType.simpleString()
-    return representatives.select("id", "n", "signature").mapInArrow(run, f"key long, id {kind}, n long")
+    return representatives.select("id", "n", "signature").mapInArrow(run, f"key long, id {kind}, n long, turn int")
 
 
 def near_signatures(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
@@ -170,6 +178,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
+def blocked(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """Each row once for every pair (i, j) of blocks that its own block is in; blocks have about `size` ids of one `by`."""
+    blocks = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    own = rows.join(blocks, by).withColumn("own", F.pmod(F.xxhash64("id", F.lit(size)), "blocks").cast("int"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+
+
+def _sides(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the two blocks of a task, which are the same where a block meets itself."""
+    if block["i"].iloc[0] == block["j"].iloc[0]:
+        return np.arange(len(block)), np.arange(len(block))
+    left = (block["own"] == block["i"]).to_numpy()
+    return np.flatnonzero(left), np.flatnonzero(~left)
+
+
+def dense_links(rows: DataFrame, representatives: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components among ids (key, id, component) under one key; one for each two components."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def alike(block: pd.DataFrame) -> pd.DataFrame:
+        """The ids with a partner near by signature in another component, and the least of them as their hub."""
+        signatures = np.frombuffer(b"".join(block["signature"]), np.uint16).reshape(len(block), -1)
+        part = pd.factorize(block["component"])[0]
+        left, right = _sides(block)
+        found = np.zeros(len(block), bool)
+        for k in left:
+            near = (part[right] != part[k]) & ((signatures[right] != signatures[k]).sum(1) < FAR)
+            if near.any():
+                found[k] = True
+                found[right[near]] = True
+        ids = block["id"][found]
+        return pd.DataFrame({"id": ids, "hub": ids.min()} if len(ids) else {"id": [], "hub": []})
+
+    def joined(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(block)
+        shingles = block["shingles"].tolist()
+        part = pd.factorize(block["component"])[0]
+        common = np.intersect1d(np.concatenate([shingles[k] for k in left]), np.concatenate([shingles[k] for k in right]))
+
+        def incidence(side: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(side), len(common)), np.float32)
+            for row, k in enumerate(side):
+                at = np.searchsorted(common, shingles[k])
+                out[row, at[common[np.minimum(at, len(common) - 1)] == shingles[k]]] = 1
+            return out
+
+        size = np.array([len(x) for x in shingles])
+        shared = np.rint(incidence(left) @ incidence(right).T).astype(np.int64) if len(common) else np.zeros((len(left), len(right)), np.int64)
+        x, y = np.nonzero((100 * shared >= percent * (size[left][:, None] + size[right] - shared)) & (part[left][:, None] != part[right]))
+        x, y = left[x], right[y]
+        both = np.sort(np.stack([part[x], part[y]], 1), 1)
+        one = np.unique(both, axis=0, return_index=True)[1]
+        ids = block["id"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(ids[x[one]], ids[y[one]]), "b": np.maximum(ids[x[one]], ids[y[one]])})
+
+    signed = blocked(rows.select("key", "id", "component"), "key", SIGNATURES).join(representatives.select("id", "signature"), "id")
+    active = table(signed.groupBy("key", "i", "j").applyInPandas(alike, f"id {kind}, hub {kind}").distinct())
+    if active.isEmpty():
+        return active.select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    clusters = components(active.select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
+    full = blocked(clusters.join(rows.select("id", "component").distinct(), "id"), "cluster", SETS).join(sets, "id")
+    return full.groupBy("cluster", "i", "j").applyInPandas(joined, f"a {kind}, b {kind}").distinct()
+
+
 def near_groups(documents: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -185,7 +257,7 @@ def near_groups(documents: DataFrame, k: int = 5, percent: int = 80, id_column:
     index = table(shared_keys(keyed(representatives)))
     members = index.select(F.col("id").alias(id_column)).distinct()
     sets = table(full_sets(documents.join(members, id_column, "left_semi").dropDuplicates([id_column]), k, id_column, text_column))
-    labels = link(index, lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m), lambda pairs: confirmed(near_signatures(pairs, representatives), sets, percent))
+    labels = link(index, lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m), lambda pairs: confirmed(near_signatures(pairs, representatives), sets, percent), lambda rows: dense_links(rows, representatives, sets, percent))
     of_set = representatives.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     rest = slim.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = real.join(of_set, "set_id").select("doc_id", "n_shingles", "component_id").unionByName(rest)
