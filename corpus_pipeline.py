@@ -18,9 +18,7 @@ from tapelight.llm.scratch import table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the trees keep. The trees learn from the labelled ones among them."""
-    forest = quality.train_quality(docs, read(spark, sf_dir, "labels"))
-    kept = quality.score_quality(docs, forest).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return quality.keep_quality(docs, quality.train_quality(docs, read(spark, sf_dir, "labels")))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ class Memo:
     anew, so memory stays bounded whatever the vocabulary of the input.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 300_000):
         self.encode, self.most = encode, most
         self.clear()
 

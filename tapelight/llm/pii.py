@@ -118,7 +118,7 @@ def features(text: str, a: int, b: int, kind: str) -> list[str]:
     names = [
         "bias", f"digits={n if n < 20 else 20}", f"ip={ip}", f"luhn={n >= 13 and luhn(digits)}", f"plus={span[0] == '+'}", f"bracket={'(' in span and ')' in span}", f"even={span.count('(') == span.count(')')}", f"groups={min(len(groups), 6)}",
         f"at={'@' in span or '(at)' in span or '[at]' in span}", f"dot={' dot ' in span or '(dot)' in span or '[dot]' in span}", f"letters={any(c.isalpha() for c in span)}", f"joined={joined}", f"date={date}", f"shape={shape}",
-        f"word={bool(re.search(r'(?:tel|fon|phone|call|mobile|fax)[^a-z]*$', before))}", f"slash={'/' in span}", f"one_group={len(groups) == 1}",
+        f"word={bool(re.search(r'(?:tel|fon|phone|call|mobile|fax)[^a-z]*$', before))}", f"slash={'/' in span}", f"one_group={len(groups) == 1}", f"bare={len(groups) == 1 and span[0] not in '+('}",
     ]
     return [f"{kind}:{name}" for name in names]
 
@@ -231,7 +231,7 @@ def example(rng: random.Random) -> tuple[str, set[Span]]:
 
     def none() -> str:
         return rng.choice([
-            number(rng.randint(7, 19)), f"{number(1)}.{number(1)}.{number(2)}.{rng.randint(256, 999)}", f"20{number(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.19{number(2)}",
+            number(rng.randint(7, 19)), ".".join(sorted((number(rng.randint(1, 3)), number(rng.randint(1, 2)), str(rng.randint(256, 5000)), number(1)), key=lambda _: rng.random())), f"20{number(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.19{number(2)}",
             f"version {number(1)}.{number(1)}", f"{number(3)} {number(3)} {number(3)}", f"{number(4)} {number(4)}", f"{word()}@{word()}", f"look at {word()}", f"token={number(9)}{word()}{number(7)}", f"20{number(2)} 20{number(2)}", f"{number(2)}/{number(2)}/20{number(2)}",
         ])
 

@@ -26,6 +26,7 @@ FEATURES = {
 }
 SAMPLE = 20_000
 WINDOW = 64
+SLICE = 1 << 20  # a statistic takes some eight bytes for each byte of text
 
 
 def tables() -> dict[str, np.ndarray]:
@@ -140,7 +141,7 @@ def labelled_features(documents: DataFrame, labels: DataFrame, label: str = "qua
     rows = _columns(documents, id_column, text_column).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             x = statistics(*utf8(batch.column("text")))[1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
@@ -157,6 +158,21 @@ def train_quality(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, i
     return train(x, y, np.array(list(FEATURES.values())))
 
 
+def keep_quality(documents: DataFrame, forest: Forest, text_column: str = "text") -> DataFrame:
+    """The documents that rules and trees keep, all columns as they were, whatever their names. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in slices([batch], text_column, SLICE):
+                counts, x = statistics(*utf8(part.column(batch.schema.get_field_index(text_column))))
+                failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+                yield batch.slice(at, part.num_rows).filter(pa.array(~failed & (forest.score(x) > 0)))
+                at += part.num_rows
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def score_quality(documents: DataFrame, forest: Forest, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for every row.
 
@@ -165,7 +181,7 @@ def score_quality(documents: DataFrame, forest: Forest, id_column: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             counts, x = statistics(*utf8(batch.column("text")))
             failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
             score = forest.score(x)
