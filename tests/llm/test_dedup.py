@@ -120,7 +120,7 @@ def test_line_groups(spark):
     documents = spark.createDataFrame([(1, f"Hello World 12\n{long}\n\n---"), (2, f"hello, WORLD 77!\n{changed}\nunlike"), (3, None), (4, ""), (None, long), (2, f"hello, WORLD 77!\n{changed}\nunlike")], "doc_id long, text string")
     rows = {(r.doc_id, r.line_no): (r.group_doc_id, r.group_line_no, r.kept) for r in line_dedup.line_groups(documents).collect()}
     assert rows[1, 0] == (1, 0, True) and rows[2, 0] == (1, 0, False)
-    hashes = [r.simhash for r in line_dedup.simhashes(line_dedup.lines(documents)).where("line_no = 1").orderBy("doc_id").collect() if r.simhash is not None]
+    hashes = [r.simhash for r in line_dedup.simhashes(line_dedup.raw_lines(documents)).where("line_no = 1").orderBy("doc_id").collect() if r.simhash is not None]
     apart = bin((hashes[0] ^ hashes[1]) & (1 << 64) - 1).count("1")
     assert rows[2, 1] == ((1, 1, False) if apart <= line_dedup.DISTANCE else (2, 1, True))
     assert rows[1, 2] == (1, 2, True) and rows[1, 3] == (1, 3, True) and rows[4, 0] == (4, 0, True) and rows[None, 0] == (None, 0, True)
@@ -142,7 +142,7 @@ def test_line_groups_against_all_pairs(spark):
             w[rng.randrange(len(w))] = "x" + words(rng, 1)
             texts.append(" ".join(w))
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    hashes = {r.doc_id: r.simhash for r in line_dedup.simhashes(line_dedup.lines(documents)).collect()}
+    hashes = {r.doc_id: r.simhash for r in line_dedup.simhashes(line_dedup.raw_lines(documents)).collect()}
     group = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(documents).collect()}
     label = {i: i for i in range(len(texts))}
     for _ in range(len(texts)):
@@ -159,4 +159,4 @@ def test_simhash_is_that_of_a_loop(spark, n):
     documents = spark.createDataFrame([(1, text)], "doc_id long, text string")
     each = [r.h for r in documents.selectExpr("explode(split(text, ' ')) AS w").selectExpr("xxhash64(w) AS h").collect()]
     expected = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each))
-    assert line_dedup.simhashes(line_dedup.lines(documents)).first().simhash & (1 << 64) - 1 == expected
+    assert line_dedup.simhashes(line_dedup.raw_lines(documents)).first().simhash & (1 << 64) - 1 == expected
