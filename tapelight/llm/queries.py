@@ -31,7 +31,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_groups(read(spark, sf_dir, "documents"))
+    return line_dedup.line_groups(read(spark, sf_dir, "documents"), indexed=line_dedup.gram_index)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

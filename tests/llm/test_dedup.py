@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapelight.llm import exact_dedup, line_dedup, near_dedup
 from tapelight.llm.components import components
@@ -160,3 +161,28 @@ def test_simhash_is_that_of_a_loop(spark, n):
     each = [r.h for r in documents.selectExpr("explode(split(text, ' ')) AS w").selectExpr("xxhash64(w) AS h").collect()]
     expected = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each))
     assert line_dedup.simhashes(line_dedup.raw_lines(documents)).first().simhash & (1 << 64) - 1 == expected
+
+
+@pytest.mark.parametrize("least, most", [(5, 12), (13, 60), (61, 200)])
+def test_similar_lines_meet(spark, least, most):
+    """Nearly all pairs of an edit similarity of 90% by brute force share a key, pass the test of a pair and are linked."""
+    rng = random.Random(least)
+    texts = []
+    for _ in range(40):
+        line = words(rng, rng.randint(least, most))
+        texts.append(line)
+        for edits in (1, len(line) // 25, len(line) // 11):  # scattered over the words
+            own = list(line)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = rng.choice("abcdefghi")
+            texts.append("".join(own))
+    documents = spark.createDataFrame(list(enumerate(texts)), "id long, normal string")
+    near = "x.id < y.id AND levenshtein(x.normal, y.normal) <= floor(greatest(length(x.normal), length(y.normal)) / 10)"
+    wanted = {(r[0], r[1]) for r in documents.alias("x").crossJoin(documents.alias("y")).where(near).selectExpr("x.id", "y.id").collect()}
+    index, fits = line_dedup.gram_index(documents, 90)
+    x, y = index.alias("x"), index.alias("y")
+    met = x.join(y, "key").where("x.id < y.id").where(fits(F.col("x.n"), F.col("y.n"))).selectExpr("x.id", "y.id").distinct().collect()
+    missed = wanted - {(r[0], r[1]) for r in met}
+    assert len(wanted) > 100 and len(missed) <= 0.02 * len(wanted)
+    group = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(documents.toDF("doc_id", "text"), indexed=line_dedup.gram_index).collect()}
+    assert sum(group[a] != group[b] for a, b in wanted) <= len(missed)
