@@ -71,6 +71,16 @@ def exact_groups(documents: DataFrame, id_column: str = "doc_id", text_column: s
 
 
 def drop_exact(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "largest", counters: int = COUNTERS) -> DataFrame:
-    """The documents that stay, with their columns as they were."""
-    stay = exact_groups(documents, id_column, text_column, keep, counters).where("kept").select(F.col("doc_id").alias(id_column))
-    return documents.join(stay.distinct(), id_column, "left_semi")
+    """The rows that stay, one of each distinct text, with their columns as they were.
+
+    It is the row that `exact_groups` keeps, by id and text: a row with a null id if the whole group has none, and one of
+    the rows that repeat an id with the same text. An id's rows with other texts are decided by those texts.
+    """
+    names = documents.columns
+    kept = exact_groups(documents, id_column, text_column, keep, counters).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = table(kept)
+    own = documents.withColumn("_digest", F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256))
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha256"))
+    single = own.join(kept.where("_rows = 1"), same, "left_semi")
+    repeated = own.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates([id_column, "_digest"])
+    return single.unionByName(repeated).select(*names)

@@ -186,3 +186,11 @@ def test_similar_lines_meet(spark, least, most):
     assert len(wanted) > 100 and len(missed) <= 0.02 * len(wanted)
     group = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(documents.toDF("doc_id", "text"), indexed=line_dedup.gram_index).collect()}
     assert sum(group[a] != group[b] for a, b in wanted) <= len(missed)
+
+
+def test_drop_exact_leaves_one_row_of_each_text(spark):
+    """Null ids with a text of their own, repeated rows, and an id with two texts of which one is another's copy."""
+    rows = [(None, "alone"), (None, "both"), (None, "both"), (1, "shared"), (None, "shared"), (2, "twice"), (2, "twice"), (3, "copy"), (4, "copy"), (3, "own"), (None, None), (5, "")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in exact_dedup.drop_exact(documents).collect()), key=str)
+    assert left == sorted([(None, "alone"), (None, "both"), (1, "shared"), (2, "twice"), (4, "copy"), (3, "own"), (5, "")], key=str)
