@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Memo, slices, utf8
+from .arrowtext import slices, utf8
 from .scratch import table
-from .tokenizer import token_memo
+from .tokenizer import library_ids
 
 CAPACITY = 2048
 BLOCK = 8192
@@ -36,7 +36,7 @@ def cut_pieces(documents: DataFrame, path: str, end_id: int, capacity: int = CAP
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: Memo = token_memo(path)
+        memo = library_ids(path)
         for batch in slices(batches):
             flat, at = memo(*utf8(batch.column("text")))
             flat = flat.astype("<u4")

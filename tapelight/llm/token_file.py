@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import slices, utf8
 from .idcoder import decode, encode
-from .tokenizer import token_memo
+from .tokenizer import library_ids
 
 ROW_IDS = 4 << 20
 
@@ -33,7 +33,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, id_c
     kind = documents.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part, row = token_memo(tokenizer), TaskContext.get().partitionId(), 0
+        memo, part, row = library_ids(tokenizer), TaskContext.get().partitionId(), 0
         docs: list[pa.Array] = []
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []

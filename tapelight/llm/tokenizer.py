@@ -1,9 +1,12 @@
-"""One memoised encoder of a tokenizers file per worker process."""
+"""Memoised encoders of a tokenizers file, one per worker process."""
 
 from __future__ import annotations
 
 import functools
 import os
+from collections.abc import Callable
+
+import numpy as np
 
 from .arrowtext import Memo
 
@@ -17,3 +20,38 @@ def token_memo(path: str) -> Memo:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     return Memo(lambda texts: [found.ids for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+
+@functools.lru_cache(2)
+def library_ids(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Texts to the ids that the library gives with add_special_tokens=False, called like a `Memo`.
+
+    Texts with the literal of an added token (in any case, as a normaliser may lower it) are encoded whole by the library.
+    """
+    from tokenizers import Tokenizer
+
+    memo = token_memo(path)
+    library = Tokenizer.from_file(path)
+    literals = {token.content.encode().lower() for token in library.get_added_tokens_decoder().values()}
+
+    def encode(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, bounds = memo(data, at)
+        plain = data.tobytes().lower()
+        whole = set()
+        for literal in literals:
+            place = plain.find(literal)
+            while place >= 0:
+                text = int(np.searchsorted(at, place, "right")) - 1
+                if place + len(literal) <= at[text + 1]:
+                    whole.add(text)
+                place = plain.find(literal, place + 1)
+        if not whole:
+            return flat, bounds
+        lengths, parts, done = np.diff(bounds), [], 0
+        for text in sorted(whole):
+            own = library.encode(data[at[text] : at[text + 1]].tobytes().decode(), add_special_tokens=False).ids
+            parts += [flat[bounds[done] : bounds[text]], np.array(own, flat.dtype)]
+            lengths[text], done = len(own), text + 1
+        return np.concatenate([*parts, flat[bounds[done] :]]), np.append(0, np.cumsum(lengths))
+
+    return encode

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from tapelight.llm import byte_bpe, idcoder, packing, token_file
 from tapelight.llm.arrowtext import segments, slices, utf8, words
 from tapelight.llm.scratch import folder
-from tapelight.llm.tokenizer import token_memo
+from tapelight.llm.tokenizer import library_ids, token_memo
 
 from .helpers import awkward, none
 
@@ -139,3 +139,23 @@ def test_local_search_loses_nothing_and_never_needs_more(lengths):
 def test_local_search_empties_a_bin():
     lengths = [60, 60, 40, 30, 10]
     assert len(packing.local_search([[0, 3], [1, 4], [2]], lengths, 100)) == 2
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", " ", "b1", ".", "<", "|>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "é\n"]), max_size=12).map("".join), max_size=12))
+@settings(deadline=None, max_examples=60)
+def test_ids_are_the_librarys(texts):
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        plain = Tokenizer.from_file(public_tokenizers.path(name))
+        ids, at = library_ids(public_tokenizers.path(name))(*utf8(pa.array(texts, pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_are_one_id(spark):
+    documents = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "z")], "doc_id long, text string")
+    path, name = folder(spark), public_tokenizers.path("word_bpe_49k.json")
+    token_file.write_ids(documents, path, name, end_id=1)
+    rows = {r.doc_id: r for r in token_file.read_ids(spark, path).collect()}
+    assert rows[1].ids == [343, 49407, 344, 1] and rows[2].start == 4
+    name = public_tokenizers.path("byte_bpe_50k.json")
+    packed = {r.doc_id: r.ids for r in packing.pack_documents(documents, name, 0, ids=True).collect()}
+    assert packed[1] == Tokenizer.from_file(name).encode("x <|endoftext|> y", add_special_tokens=False).ids + [0] and 50256 in packed[1]
