@@ -26,7 +26,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("members > 1").drop("members")
 
 
-def link(index: DataFrame, fits: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], dense: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(index: DataFrame, fits: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], dense: Callable[[DataFrame], DataFrame] | None = None, turns: int = TURNS) -> DataFrame:
     """id, component of all ids that some confirmed pair links.
 
     index: key, id, n, turn; fits(n, m) is a cheap test of a pair; confirm(pairs) keeps the pairs (a, b) that are linked.
@@ -38,8 +38,8 @@ def link(index: DataFrame, fits: Callable[[Column, Column], Column], confirm: Ca
     """
     links: list[DataFrame] = []
     labels: DataFrame | None = None
-    for turn in range(TURNS + 1):
-        now = index.where(F.col("turn") == turn) if turn < TURNS else index
+    for turn in range(turns + 1):
+        now = index.where(F.col("turn") == turn) if turn < turns else index
         if labels is None:
             now = now.select("key", "id", "n", F.col("id").alias("component"), F.lit(1).cast("long").alias("size"))
         else:
@@ -47,7 +47,7 @@ def link(index: DataFrame, fits: Callable[[Column, Column], Column], confirm: Ca
             now = now.join(labels.join(sizes, "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
             mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
             now = now.join(mixed, "key")
-        if turn < TURNS:
+        if turn < turns:
             hubs = now.groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), F.struct("size", F.xxhash64("component"), F.xxhash64("id"), "id")).alias("hub"))
             met = now.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
             pairs = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
@@ -60,7 +60,7 @@ def link(index: DataFrame, fits: Callable[[Column, Column], Column], confirm: Ca
             met = now.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & fits(F.col("n"), F.col("m")))
             pairs = met.select(F.col("id").alias("a"), "b")
         links.append(table(confirm(pairs.distinct())))
-        new = links[-2:] if turn == TURNS and dense is not None else links[-1:]
+        new = links[-2:] if turn == turns and dense is not None else links[-1:]
         if labels is None or not all(found.isEmpty() for found in new):
             labels = components(reduce(DataFrame.unionByName, links))
     return labels

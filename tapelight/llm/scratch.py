@@ -20,5 +20,5 @@ def folder(spark: SparkSession) -> str:
 def table(frame: DataFrame) -> DataFrame:
     """Write the rows as Parquet to the shared folder and read them back: no executor's loss makes them be computed anew."""
     path = folder(frame.sparkSession)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression="zstd")
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

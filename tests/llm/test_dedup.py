@@ -119,7 +119,7 @@ def test_line_groups(spark):
     long = words(rng, 150)
     changed = long.replace(long.split()[70], "other", 1)
     documents = spark.createDataFrame([(1, f"Hello World 12\n{long}\n\n---"), (2, f"hello, WORLD 77!\n{changed}\nunlike"), (3, None), (4, ""), (None, long), (2, f"hello, WORLD 77!\n{changed}\nunlike")], "doc_id long, text string")
-    rows = {(r.doc_id, r.line_no): (r.group_doc_id, r.group_line_no, r.kept) for r in line_dedup.line_groups(documents).collect()}
+    rows = {(r.doc_id, r.line_no): (r.group_doc_id, r.group_line_no, r.kept) for r in line_dedup.line_groups(documents, indexed=line_dedup.simhash_index).collect()}
     assert rows[1, 0] == (1, 0, True) and rows[2, 0] == (1, 0, False)
     hashes = [r.simhash for r in line_dedup.simhashes(line_dedup.raw_lines(documents)).where("line_no = 1").orderBy("doc_id").collect() if r.simhash is not None]
     apart = bin((hashes[0] ^ hashes[1]) & (1 << 64) - 1).count("1")
@@ -144,7 +144,7 @@ def test_line_groups_against_all_pairs(spark):
             texts.append(" ".join(w))
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     hashes = {r.doc_id: r.simhash for r in line_dedup.simhashes(line_dedup.raw_lines(documents)).collect()}
-    group = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(documents).collect()}
+    group = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(documents, indexed=line_dedup.simhash_index).collect()}
     label = {i: i for i in range(len(texts))}
     for _ in range(len(texts)):
         for a in label:
@@ -188,6 +188,51 @@ def test_similar_lines_meet(spark, least, most):
     assert sum(group[a] != group[b] for a, b in wanted) <= len(missed)
 
 
+def test_line_groups_are_those_of_edit_similarity(spark):
+    """Against every pair by edit distance, in plain Python: one-letter, many-letter and word edits, chains, copies, ties."""
+    rng = random.Random(21)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    texts = []
+    for n in (5, 7, 10, 20, 40, 90):
+        for _ in range(4):
+            line = words(rng, n)
+            texts.append(line)
+            for _ in range(3):  # a chain of edits
+                own = list(line)
+                for _ in range(rng.randint(1, max(1, len(own) // 25))):
+                    at = rng.randrange(len(own))
+                    own[at : at + rng.randint(0, 1)] = rng.choice(["x", "y ", "", "u"])
+                line = " ".join("".join(own).split())
+                texts.append(line)
+            texts += [texts[-1].upper() + "!", line + " " + words(rng, n)]
+    groups = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    plain = [" ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) for t in texts]
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if abs(len(plain[a]) - len(plain[b])) <= 0.1 * max(len(plain[a]), len(plain[b])) and distance(plain[a], plain[b]) <= max(len(plain[a]), len(plain[b])) // 10]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(near) > 60 and sum(groups[a] == groups[b] for a, b in near) >= 0.98 * len(near)
+    assert all(label[i] == label[groups[i]] for i in range(len(texts)))  # nothing is linked that isn't
+
+
+def test_lines_with_clashing_columns_and_nulls(spark):
+    rows = [(1, "one line of words here\nsomething else", "g", 1, 2), (2, "one line of words hers", None, None, None), (None, "one line of words here", "x", 3, 4), (1, "one line of words here\nsomething else", "g", 1, 2), (3, None, "n", 5, 6)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, gone string, first int, component int")
+    left = line_dedup.drop_lines(documents)
+    assert left.columns == documents.columns
+    found = sorted(((r.doc_id or 0, r.text, r.gone) for r in left.collect()), key=str)
+    assert found == sorted([(1, rows[0][1], "g"), (1, rows[0][1], "g"), (2, "", None), (0, rows[2][1], "x"), (3, None, "n")], key=str)
+
+
 def test_drop_exact_leaves_one_row_of_each_text(spark):
     """Null ids with a text of their own, repeated rows, and an id with two texts of which one is another's copy."""
     rows = [(None, "alone"), (None, "both"), (None, "both"), (1, "shared"), (None, "shared"), (2, "twice"), (2, "twice"), (3, "copy"), (4, "copy"), (3, "own"), (None, None), (5, "")]
