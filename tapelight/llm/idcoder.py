@@ -1,15 +1,17 @@
 """Adaptive context-mixing range coder for token ids, in blocks that stand alone.
 
-Each id is predicted by three orders. Orders 2 and 1 remember, for a hash of the last two ids and of the last id, the
-id that came next, with a confidence of 0 to 3; order 0 is an adaptive distribution over all ids, four bits at a
-time. The mixture's weights - how often order 2 is right, how often order 1 is where order 2 isn't, how often neither -
-are adapted for each pair of confidences. The weight picked and, if neither is right, the four digits drive a range
-coder with 16-bit words.
+An id is coded as three digits, of 6, 5 and 5 bits, the highest first. Three orders predict each digit. Order 0 is an adaptive
+distribution for the digits before it. Orders 1 and 2 remember, for a hash of the last id and of the last two ids, the id
+that came next, with a confidence of 0 to 3; their prediction is that id's digit, as long as its digits so far were right,
+so a guess that is ruled out has no share any more. The distribution that drives the range coder is the mixture of the
+three: order 1 has the odds p1 : 1 - p1 against order 0, and order 2 the odds p2 : 1 - p2 against these two together. p1
+and p2 are learnt in the block for each confidence, apart where both guess alike; once a guess's first digits are right,
+its odds are those of AFTER.
 
 A block holds BLOCK ids at most and starts from an empty model, so any block can be read alone and a damaged one spoils
 only itself. Many blocks are coded in step, one numpy operation serving the same position of all of them.
 
-Block: `TLC1`, number of ids, number of words, CRC-32 of the ids (little-endian unsigned 32-bit), CRC-32 of the words
+Block: `TLC2`, number of ids, number of words, CRC-32 of the ids (little-endian unsigned 32-bit), CRC-32 of the words
 (each little-endian unsigned 32-bit), then the words (little-endian unsigned 16-bit). Ids are 0 to 65534.
 """
 
@@ -20,15 +22,21 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 1024
 STEP = 24  # what a symbol's count gains; totals stay under 2 ** 16 in a block
+#: Bits of the digits, and tables of them: one of the first, 64 of the second, 256 (by a hash) of the third.
+BITS, CONTEXTS = (6, 5, 5), (1, 64, 256)
 #: What a symbol adds to the running sums of a table.
-GAINS = np.triu(np.full((16, 16), STEP, np.uint16))
+GAINS = [np.triu(np.full((1 << bits, 1 << bits), STEP, np.uint16)) for bits in BITS]
 SLOTS = 2048
-CONTEXTS = 1 + 16 + 256 + 256
 NONE = 0xFFFF
+#: Odds, in 64ths, of a probability in 256ths, and of a guess of which 1 or 2 digits were right.
+ODDS = np.minimum(np.arange(256) * 64 // np.maximum(256 - np.arange(256), 1), 64 * 40).astype(np.int64)
+AFTER = (24, 96)
+#: The range is kept from LEAST to 2 ** 16 times that; a word of 16 bits leaves (or enters) when it is below.
+LEAST = 1 << 32
 HEAD = struct.Struct("<4sIIII")
-MAGIC = b"TLC1"
+MAGIC = b"TLC2"
 
 
 class _Lanes:
@@ -39,51 +47,77 @@ class _Lanes:
         self.lengths, self.n = lengths, n
         self.order1 = np.full(n * SLOTS, NONE, np.int32)
         self.order2 = np.full(n * SLOTS, NONE, np.int32)
-        self.weights = np.ones(n * 32 * 4, np.uint16)
-        self.weights[3::4] = 0
-        self.digits = np.tile(np.arange(1, 17, dtype=np.uint16), (n * CONTEXTS, 1))  # running sums of counts
-        self.low, self.range = np.zeros(n, np.int64), np.full(n, 1 << 32, np.int64)
+        self.right = np.full(n * 16, 64 << 8, np.int64)  # probabilities in 65536ths, by order, confidence and agreement
+        # running sums of counts, and room for the rows of one step
+        self.digits = [np.tile(np.arange(1, (1 << bits) + 1, dtype=np.uint16), (n * tables, 1)) for bits, tables in zip(BITS, CONTEXTS, strict=True)]
+        self.sums = [np.empty((n, 1 << bits), np.uint16) for bits in BITS]
+        self.at = [np.arange(n) << bits for bits in BITS]
+        self.low, self.range = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
         self.place = np.zeros(n, np.int64)
         self.decoding = words is not None
         if self.decoding:
             self.words = np.concatenate([words, np.zeros((8, n), words.dtype)])
-            self.low = (self.words[0].astype(np.int64) << 16) | self.words[1]  # while decoding: the code less the low end
-            self.place += 2
+            for k in range(3):  # while decoding: the code less the low end
+                self.low = self.low << 16 | self.words[k]
+            self.place += 3
         else:
             self.words = np.zeros((1024, n), np.int32)
 
-    def narrow(self, lanes, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        """Take the part [start, start + width) of the range, in units, and shift words out or in."""
-        low, span = self.low[lanes], unit * width
-        low = low - unit * start if self.decoding else low + unit * start
-        short = (span < 65536).nonzero()[0]
-        if len(short):
-            own = short if isinstance(lanes, slice) else lanes[short]
-            at = self.place[own]
+    def narrow(self, m: int, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """Take the part [start, start + width) of the first m lanes' ranges, in units, and shift words out or in."""
+        low, span = self.low[:m], self.range[:m]
+        start *= unit
+        low += -start if self.decoding else start
+        np.multiply(unit, width, out=span)
+        short = (span < LEAST).nonzero()[0]
+        while len(short):
+            at = self.place[short]
             if self.decoding:
-                low[short] = (low[short] << 16) | self.words[at, own]
+                low[short] = low[short] << 16 | self.words[at, short]
             else:
-                if at.max() >= len(self.words) - 4:
+                if at.max() >= len(self.words) - 8:
                     self.words = np.concatenate([self.words, np.zeros_like(self.words)])
-                self.words[at, own] = low[short] >> 16
-                low[short] = (low[short] & 0xFFFF) << 16
-            span[short] <<= 16
-            self.place[own] = at + 1
-        self.low[lanes], self.range[lanes] = low, span
-
-    def digit(self, lanes: np.ndarray, context: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """Code one of 16 symbols by an adaptive table of each lane."""
-        row = lanes * CONTEXTS + context
-        sums = self.digits[row]
-        whole = sums[:, 15].astype(np.int64)
-        unit = self.range[lanes] // whole
+                own = low[short]
+                self.words[at, short] = own >> 32
+                low[short] = (own & 0xFFFFFFFF) << 16
+            self.place[short] = at + 1
+            wider = span[short] << 16
+            span[short] = wider
+            short = short[wider < LEAST]
+
+    def digit(self, k: int, m: int, row: np.ndarray, guess1: np.ndarray, odds1: np.ndarray, guess2: np.ndarray, odds2: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
+        """Code digit k of the first m lanes by the mixture of a table's row and two guesses with odds in 64ths."""
+        sums, at = self.sums[k][:m], self.at[k][:m]
+        np.take(self.digits[k], row, axis=0, out=sums, mode="clip")
+        flat = sums.ravel()
+        whole = sums[:, -1].astype(np.int64)
+        extra1 = whole * odds1 >> 6
+        extra2 = (whole + extra1) * odds2 >> 6
+        unit = self.range[:m] // (whole + extra1 + extra2)
         if symbol is None:
-            target = np.minimum(self.low[lanes] // unit, whole - 1).astype(np.uint16)
-            symbol = np.count_nonzero(sums <= target[:, None], 1)
-        each = np.arange(len(lanes))
-        start = np.where(symbol > 0, sums[each, symbol - 1], 0).astype(np.int64)
-        self.narrow(lanes, unit, start, sums[each, symbol] - start)
-        self.digits[row] = sums + GAINS[symbol]
+            target = self.low[:m] // unit
+            alike = guess1 == guess2
+            both = alike * extra2
+            swap = guess1 > guess2
+            guesses = np.where(swap, guess2, guess1), np.where(swap, guess1, guess2)
+            extras = np.where(swap, extra2, extra1) + both, np.where(swap, extra1, extra2) - both
+            symbol = None
+            for guess, extra in zip(guesses, extras, strict=True):  # a target beyond a guess's share moves down by it
+                end = flat[at + guess].astype(np.int64)
+                beyond = target >= end + extra
+                inside = (target >= end) & ~beyond  # in the share that the guess adds at its end
+                target = np.where(beyond, target - extra, np.where(inside, end - 1, target))
+            counted = np.bitwise_count((sums <= np.minimum(target, whole - 1).astype(np.uint16)[:, None]).view(np.uint64))
+            symbol = counted.sum(1, dtype=np.int64)
+        above = symbol > 0
+        end = at + symbol
+        start = flat[end - above] * above.astype(np.int64)
+        width = flat[end] - start
+        start += (guess1 < symbol) * extra1 + (guess2 < symbol) * extra2
+        width += (guess1 == symbol) * extra1 + (guess2 == symbol) * extra2
+        self.narrow(m, unit, start, width)
+        sums += GAINS[k][symbol]
+        self.digits[k][row] = sums
         return symbol
 
     def run(self, ids: np.ndarray) -> None:
@@ -91,40 +125,36 @@ class _Lanes:
         last, before = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
         steps = int(self.lengths.max(initial=0))
         full = int(self.lengths.min(initial=0))
-        base = np.arange(self.n) * SLOTS
+        every = np.arange(self.n)
+        base, learnt = every * SLOTS, every * 16
+        ids = np.ascontiguousarray(ids.T) if not self.decoding else ids
         for t in range(steps):
             m = self.n if t < full else int((self.lengths > t).sum())  # lengths fall
-            lanes = slice(0, m)
             a, b = last[:m], before[:m]
             slot1, slot2 = base[:m] + (a * 40503 >> 5) % SLOTS, base[:m] + ((a * 48271 + b * 30269) >> 4) % SLOTS
-            entry1, entry2 = self.order1[slot1], self.order2[slot2]
+            entry1, entry2 = self.order1[slot1].astype(np.int64), self.order2[slot2].astype(np.int64)
             guess1, guess2 = entry1 & 0xFFFF, entry2 & 0xFFFF
             sure1, sure2 = entry1 >> 16, entry2 >> 16
-            row = np.arange(m) * 32 + (sure1 | sure2 << 2 | (guess1 == guess2) << 4)
-            counts = self.weights.reshape(-1, 4)[row].astype(np.int64)
-            first, second = counts[:, 0], counts[:, 0] + counts[:, 1]
-            unit = self.range[:m] // (second + counts[:, 2])
-            if self.decoding:
-                target = self.low[:m] // unit
-                which = (target >= first).astype(np.int64) + (target >= second)
-                x = np.where(which == 0, guess2, guess1)
-            else:
-                x = ids[:m, t]
-                which = np.where(x == guess2, 0, np.where(x == guess1, 1, 2))
-            start = np.where(which == 0, 0, np.where(which == 1, first, second))
-            self.narrow(lanes, unit, start, counts[np.arange(m), which])
-            self.weights[row * 4 + which] += STEP
-            if len(new := (which == 2).nonzero()[0]):
-                own = None if self.decoding else x[new].astype(np.int64)
-                high = self.digit(new, np.zeros(len(new), np.int64), None if own is None else own >> 12)
-                byte = high << 4 | self.digit(new, 1 + high, None if own is None else own >> 8 & 15)
-                upper = byte << 4 | self.digit(new, 17 + byte, None if own is None else own >> 4 & 15)
-                whole = upper << 4 | self.digit(new, 273 + (upper * 40503 >> 4) % 256, None if own is None else own & 15)
-                if own is None:
-                    x[new] = whole
+            alike = (guess1 == guess2) << 2
+            row1, row2 = learnt[:m] + sure1 + alike, learnt[:m] + 8 + sure2 + alike
+            right1, right2 = self.right[row1], self.right[row2]
+            odds1, odds2 = ODDS[right1 >> 8] * (guess1 != NONE), ODDS[right2 >> 8] * (guess2 != NONE)
+            own = None if self.decoding else ids[t, :m].astype(np.int64)
+            x, row, left = 0, every[:m], sum(BITS)
+            for k, bits in enumerate(BITS):
+                if k:
+                    on1, on2 = guess1 >> left == x, guess2 >> left == x
+                    odds1, odds2 = on1 * (odds1 > 0) * AFTER[k - 1], on2 * (odds2 > 0) * AFTER[k - 1]
+                    row = every[:m] * CONTEXTS[k] + (x if k == 1 else (x * 40503 >> 4) % CONTEXTS[k])
+                left -= bits
+                mask = (1 << bits) - 1
+                found = self.digit(k, m, row, guess1 >> left & mask, odds1, guess2 >> left & mask, odds2, None if own is None else own >> left & mask)
+                x = x << bits | found
             if self.decoding:
                 ids[:m, t] = x
             hit1, hit2 = x == guess1, x == guess2
+            self.right[row1] = right1 + ((hit1 * 65535 - right1) >> 4)
+            self.right[row2] = right2 + ((hit2 * 65535 - right2) >> 4)
             self.order1[slot1] = np.where(hit1, guess1 | np.minimum(sure1 + 1, 3) << 16, np.where(sure1 > 0, guess1 | (sure1 - 1) << 16, x))
             self.order2[slot2] = np.where(hit2, guess2 | np.minimum(sure2 + 1, 3) << 16, np.where(sure2 > 0, guess2 | (sure2 - 1) << 16, x))
             before[:m] = a
@@ -142,11 +172,11 @@ def encode(ids: np.ndarray) -> list[bytes]:
     lanes = _Lanes(lengths)
     lanes.run(square)
     every = np.arange(lanes.n)
-    for _ in range(2):  # what is left of the low end
+    for _ in range(3):  # what is left of the low end
         if lanes.n and lanes.place.max() >= len(lanes.words) - 1:
             lanes.words = np.concatenate([lanes.words, np.zeros_like(lanes.words)])
-        lanes.words[lanes.place, every] = lanes.low >> 16
-        lanes.low = (lanes.low & 0xFFFF) << 16
+        lanes.words[lanes.place, every] = lanes.low >> 32
+        lanes.low = (lanes.low & 0xFFFFFFFF) << 16
         lanes.place += 1
     for k in range(int(lanes.place.max(initial=0)), 0, -1):  # carries, from the end
         lanes.words[k - 1] += lanes.words[k] >> 16
@@ -173,7 +203,7 @@ def decode(data: bytes) -> np.ndarray:
         at += HEAD.size + 2 * count
     lengths = np.array([n for n, _ in heads], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    words = np.zeros((max(map(len, bodies), default=2), len(bodies)), np.int32)
+    words = np.zeros((max(map(len, bodies), default=3), len(bodies)), np.int32)
     for lane, k in enumerate(order):
         words[: len(bodies[k]), lane] = bodies[k]
     square = np.zeros((len(bodies), BLOCK), np.int32)
