@@ -46,10 +46,4 @@ def zscore(x: str | Column, frame: WindowSpec, sample: bool = False, flat: float
     """(x - mean) / deviation over the frame; 0 where the deviation is (nearly) 0."""
     x = F.col(x) if isinstance(x, str) else x
     deviation = (F.stddev_samp if sample else F.stddev_pop)(x).over(frame)
-    return F.when(deviation < flat, 0.0).otherwise((x - F.avg(x).over(frame)) / deviation)
-
-
-def nearest_rank(values: Column, share: float) -> Column:
-    """The element at round(share * (n - 1)) of the sorted values."""
-    ordered_values = F.array_sort(values)
-    return F.element_at(ordered_values, (F.round(F.lit(share) * (F.size(values) - 1)) + 1).cast("int"))
+    return F.when(deviation < flat, 0.0).otherwise(ratio(x - F.avg(x).over(frame), deviation))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import ordered, prior_rows
+from ..functions.frames import ordered, prior_rows, ratio
 
 
 def price_range(ticks: DataFrame, low: float, high: float) -> DataFrame:
@@ -38,9 +38,9 @@ def not_repeated(ticks: DataFrame) -> DataFrame:
 
 
 def not_outlier(ticks: DataFrame, window: int, most: float) -> DataFrame:
-    """Without prices over `most` sample deviations from the mean of the `window` prices before; earlier ticks pass."""
+    """Without prices over `most` sample deviations from the mean of the `window` prices before; earlier ticks pass, and those after a flat window."""
     frame = prior_rows(window)
-    z = F.abs(F.col("price") - F.avg("price").over(frame)) / F.stddev_samp("price").over(frame)
+    z = ratio(F.abs(F.col("price") - F.avg("price").over(frame)), F.stddev_samp("price").over(frame))
     return ticks.withColumn("z", F.when(F.count(F.lit(1)).over(frame) >= window, z)).where("z IS NULL OR z <= " + str(float(most))).drop("z")
 
 

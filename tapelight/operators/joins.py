@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import ratio
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, columns: list[str], tie: str | None = None) -> DataFrame:
     """Each left row with the `columns` of the last right row of its key at or before its time; null if there is none.
@@ -44,14 +46,14 @@ def arbitrage(latest_ticks: DataFrame, least_bps: float) -> DataFrame:
     """Ordered pairs of exchanges of a symbol whose last prices differ by more than `least_bps` of the lower one."""
     buy = latest_ticks.select("symbol", F.col("exchange").alias("buy"), F.col("price").alias("buy_price"))
     sell = latest_ticks.select("symbol", F.col("exchange").alias("sell"), F.col("price").alias("sell_price"))
-    bps = (F.col("sell_price") - F.col("buy_price")) / F.col("buy_price") * 1e4
+    bps = ratio(F.col("sell_price") - F.col("buy_price"), "buy_price") * 1e4
     return buy.join(sell, "symbol").where("buy != sell AND sell_price > buy_price").withColumn("bps", bps).where(F.col("bps") > least_bps)
 
 
 def correlations(bars: DataFrame, column: str = "close") -> DataFrame:
     """Pearson correlation of the bar returns of every two symbols, over bars they both have: a < b, corr, n."""
     by = Window.partitionBy("symbol").orderBy("bar_start_ms")
-    returns = bars.select("symbol", "bar_start_ms", F.log(F.col(column) / F.lag(column).over(by)).alias("ret")).where("ret IS NOT NULL")
+    returns = bars.select("symbol", "bar_start_ms", F.log(ratio(column, F.lag(column).over(by))).alias("ret")).where("ret IS NOT NULL")
     other = returns.select(F.col("symbol").alias("other"), "bar_start_ms", F.col("ret").alias("other_ret"))
     return returns.join(other, "bar_start_ms").where("symbol < other").groupBy(F.col("symbol").alias("a"), F.col("other").alias("b")).agg(F.corr("ret", "other_ret").alias("corr"), F.count(F.lit(1)).alias("n"))
 

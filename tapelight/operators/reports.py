@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import nearest_rank, ordered, ratio
+from ..functions.frames import ordered, ratio
 
 
 def tick_stats(ticks: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def intraday_profile(ticks: DataFrame) -> DataFrame:
 def weekday_effect(bars: DataFrame) -> DataFrame:
     """Mean return from open to close of each weekday (0 is Monday)."""
     day = (F.floor(F.col("bar_start_ms") / 86_400_000) + 3) % 7
-    return bars.groupBy("symbol", day.alias("weekday")).agg(F.avg(F.col("close") / F.col("open") - 1).alias("ret"), F.count(F.lit(1)).alias("n"))
+    return bars.groupBy("symbol", day.alias("weekday")).agg(F.avg(ratio("close", "open") - 1).alias("ret"), F.count(F.lit(1)).alias("n"))
 
 
 def best_hours(profile: DataFrame, share: float) -> DataFrame:
@@ -53,20 +53,20 @@ def latency_histogram(ticks: DataFrame) -> DataFrame:
 def risk(bars: DataFrame, level: float = 0.95) -> DataFrame:
     """Per symbol: annual volatility (sample, 252), historical VaR and expected shortfall, Sharpe ratio, worst drawdown."""
     by = Window.partitionBy("symbol").orderBy("bar_start_ms")
-    returns = bars.withColumn("ret", F.log(F.col("close") / F.lag("close").over(by))).withColumn("lost", 1 - F.col("close") / F.max("close").over(by))
+    returns = bars.withColumn("ret", F.log(ratio("close", F.lag("close").over(by)))).withColumn("lost", 1 - ratio("close", F.max("close").over(by)))
     rows = Window.partitionBy("symbol")
     ranked = returns.withColumn("n", F.count("ret").over(rows)).withColumn("rank", F.row_number().over(rows.orderBy(F.col("ret").asc_nulls_last())) - 1)
     at = F.floor((1 - level) * F.col("n"))
     return ranked.groupBy("symbol").agg(
         (F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("volatility"), (-F.max(F.when(F.col("rank") == at, F.col("ret")))).alias("var"), (-F.avg(F.when(F.col("rank") <= at, F.col("ret")))).alias("shortfall"),
-        (F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("sharpe"), F.max("lost").alias("max_drawdown"),
+        (ratio(F.avg("ret"), F.stddev_samp("ret")) * F.sqrt(F.lit(252.0))).alias("sharpe"), F.max("lost").alias("max_drawdown"),
     )
 
 
 def execution_quality(fills: DataFrame) -> DataFrame:
     """Per symbol: mean slippage in basis points ((executed - arrival) / arrival * side), share without slippage, mean shortfall against the benchmark."""
-    slip = (F.col("executed_price") - F.col("arrival_price")) / F.col("arrival_price") * 1e4 * F.col("side")
-    short = (F.col("executed_price") - F.col("benchmark_price")) / F.col("benchmark_price") * 1e4 * F.col("side")
+    slip = ratio(F.col("executed_price") - F.col("arrival_price"), "arrival_price") * 1e4 * F.col("side")
+    short = ratio(F.col("executed_price") - F.col("benchmark_price"), "benchmark_price") * 1e4 * F.col("side")
     return fills.withColumn("slip", slip).groupBy("symbol").agg(F.avg("slip").alias("slippage_bps"), F.avg((F.col("slip") <= 0).cast("double")).alias("fill_rate"), F.avg(short).alias("shortfall_bps"), F.count(F.lit(1)).alias("n"))
 
 
@@ -91,6 +91,12 @@ def brinson(sectors: DataFrame) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, key: str, column: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank quantiles of each key."""
-    values = rows.groupBy(key).agg(F.collect_list(column).alias("v"))
-    return values.select(key, *(nearest_rank(F.col("v"), s).alias(name) for name, s in shares.items()))
+    """Nearest-rank quantiles of each key: the value at round(share * (n - 1)) of the sorted ones; nulls don't count.
+
+    Equal values are counted first, so a key costs a row for each distinct value.
+    """
+    counted = rows.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.count(F.lit(1)).alias("rows"))
+    by = Window.partitionBy(key)
+    upto = counted.withColumn("n", F.sum("rows").over(by)).withColumn("upto", F.sum("rows").over(by.orderBy(column)))
+    at = {name: F.round(F.lit(share) * (F.col("n") - 1)) for name, share in shares.items()}
+    return upto.groupBy(key).agg(*(F.min(F.when(F.col("upto") > place, F.col(column))).alias(name) for name, place in at.items()))

@@ -1,6 +1,6 @@
 """Rolling statistics and indicators over ticks or bars: frames of a fixed number of rows or of time.
 
-Frames are partitioned by symbol. State that can't be a frame (Wilder averages and the like) is in folds.py.
+Frames are partitioned by symbol. What is divided by zero, and the logarithm of what isn't positive, is null. State that can't be a frame (Wilder averages and the like) is in folds.py.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def sma(x: str, frame: WindowSpec, n: int) -> Column:
 def min_max(x: str, frame: WindowSpec) -> Column:
     """(x - min) / (max - min) of the frame, 0 where it is flat."""
     low, high = F.min(x).over(frame), F.max(x).over(frame)
-    return F.when(high == low, 0.0).otherwise((F.col(x) - low) / (high - low))
+    return F.when(high == low, 0.0).otherwise(ratio(F.col(x) - low, high - low))
 
 
 def bollinger(bars: DataFrame, n: int, width: float, order=("bar_start_ms",)) -> DataFrame:
@@ -33,7 +33,7 @@ def stochastic(bars: DataFrame, n: int, smooth: int, order=("bar_start_ms",)) ->
     """%K (50 where flat) and %D, its mean of `smooth` values; null until the frames are full."""
     frame = last_rows(n, order=order)
     low, high = F.min("low").over(frame), F.max("high").over(frame)
-    k = full(F.when(high == low, 50.0).otherwise(100 * (F.col("close") - low) / (high - low)), frame, n)
+    k = full(F.when(high == low, 50.0).otherwise(100 * ratio(F.col("close") - low, high - low)), frame, n)
     out = bars.withColumn("k", k)
     over = last_rows(smooth, order=order)
     return out.select("symbol", *order, "k", F.when(F.count("k").over(over) >= smooth, F.avg("k").over(over)).alias("d"))
@@ -48,7 +48,7 @@ def candle_shapes(bars: DataFrame, doji: float = 0.1) -> DataFrame:
     """typical price, body share, doji, engulfing (1, -1 or 0, strict) and inside bar of each bar."""
     by = ordered(order=("bar_start_ms",))
     span = F.col("high") - F.col("low")
-    body = F.when(span == 0, 0.0).otherwise(F.abs(F.col("close") - F.col("open")) / span)
+    body = F.when(span == 0, 0.0).otherwise(ratio(F.abs(F.col("close") - F.col("open")), span))
     o, c, h, low = (F.lag(x).over(by) for x in ("open", "close", "high", "low"))
     engulfing = F.when((F.col("close") > F.col("open")) & (c < o) & (F.col("open") < c) & (F.col("close") > o), 1).when((F.col("close") < F.col("open")) & (c > o) & (F.col("open") > c) & (F.col("close") < o), -1).otherwise(0)
     return bars.select("symbol", "bar_start_ms", ((F.col("high") + F.col("low") + F.col("close")) / 3).alias("typical"), body.alias("body"), (body <= doji).alias("is_doji"), engulfing.alias("engulfing"), F.coalesce((F.col("high") < h) & (F.col("low") > low), F.lit(False)).alias("is_inside"))
@@ -62,7 +62,7 @@ def anomalies(ticks: DataFrame, window: int = 20, most_z: float = 3.0, most_volu
     by, frame = ordered(), prior_rows(window)
     deviation = F.stddev_pop("price").over(frame)
     enough = F.count(F.lit(1)).over(frame) >= 2
-    z = F.when(enough & (deviation > 0), F.abs(F.col("price") - F.avg("price").over(frame)) / deviation)
+    z = F.when(enough & (deviation > 0), ratio(F.abs(F.col("price") - F.avg("price").over(frame)), deviation))
     volume = F.when(enough, ratio("quantity", F.avg("quantity").over(frame)))
     gap = F.col("trade_id") - F.lag("trade_id").over(by) - 1
     checked = ticks.select("symbol", "trade_id", gap.cast("double").alias("sequence_gap"), z.alias("price_spike"), volume.alias("volume_spike"))
@@ -74,8 +74,8 @@ def anomalies(ticks: DataFrame, window: int = 20, most_z: float = 3.0, most_volu
 def alpha(bars: DataFrame, n: int, order=("bar_start_ms",)) -> DataFrame:
     """Momentum over n bars (0 until there are as many), z-score of the close, realised volatility (annual, 252) and its regime."""
     by, frame = ordered(order=order), last_rows(n, order=order)
-    momentum = F.coalesce(F.col("close") / F.lag("close", n).over(by) - 1, F.lit(0.0))
-    out = bars.withColumn("ret", F.log(F.col("close") / F.lag("close").over(by)))
+    momentum = F.coalesce(ratio("close", F.lag("close", n).over(by)) - 1, F.lit(0.0))
+    out = bars.withColumn("ret", F.log(ratio("close", F.lag("close").over(by))))
     vol = F.stddev_pop("ret").over(frame) * F.sqrt(F.lit(252.0))
     out = out.select("symbol", *order, momentum.alias("momentum"), zscore("close", frame).alias("z"), vol.alias("vol"))
     return out.withColumn("regime", F.when(F.col("vol") < 0.1, "low").when(F.col("vol") < 0.2, "normal").when(F.col("vol") < 0.4, "high").when(F.col("vol").isNotNull(), "extreme"))
@@ -84,7 +84,7 @@ def alpha(bars: DataFrame, n: int, order=("bar_start_ms",)) -> DataFrame:
 def microstructure(ticks: DataFrame, n: int) -> DataFrame:
     """Roll spread, bid-ask bounce, Kyle's lambda and Amihud illiquidity over the last n ticks; null until n differences."""
     by = ordered()
-    d = ticks.withColumn("dp", F.col("price") - F.lag("price").over(by)).withColumn("ret", F.abs(F.log(F.col("price") / F.lag("price").over(by))))
+    d = ticks.withColumn("dp", F.col("price") - F.lag("price").over(by)).withColumn("ret", F.abs(F.log(ratio("price", F.lag("price").over(by)))))
     d = d.withColumn("before", F.lag("dp").over(by)).withColumn("flow", F.col("side") * F.col("quantity")).withColumn("illiquid", ratio("ret", "quantity"))
     frame = last_rows(n)
     ready = F.count("before").over(frame) >= n
@@ -109,7 +109,7 @@ def order_flow(ticks: DataFrame, n: int) -> DataFrame:
 def patterns(ticks: DataFrame, threshold: float) -> DataFrame:
     """Back-runs: an up move of at least `threshold` and then a smaller move down, one or two ticks later."""
     by = ordered()
-    move = lambda k: F.lead("price", k).over(by) / F.lead("price", k - 1).over(by) - 1 if k else F.col("price") / F.lag("price").over(by) - 1
+    move = lambda k: ratio(F.lead("price", k).over(by), F.lead("price", k - 1).over(by)) - 1 if k else ratio("price", F.lag("price").over(by)) - 1
     m = ticks.select("symbol", "trade_id", move(0).alias("up"), move(1).alias("one"), move(2).alias("two"))
     down = F.when((F.col("one") < 0) & (-F.col("one") < F.col("up")), 1).when((F.col("two") < 0) & (-F.col("two") < F.col("up")), 2)
     return m.withColumn("after", down).where((F.col("up") >= threshold) & F.col("after").isNotNull()).select("symbol", "trade_id", "up", "after")
@@ -118,7 +118,7 @@ def patterns(ticks: DataFrame, threshold: float) -> DataFrame:
 def drawdown(bars: DataFrame, order=("bar_start_ms",)) -> DataFrame:
     """Share of the highest close so far that is lost, and the worst so far."""
     frame = so_far(order=order)
-    out = bars.withColumn("drawdown", 1 - F.col("close") / F.max("close").over(frame))
+    out = bars.withColumn("drawdown", 1 - ratio("close", F.max("close").over(frame)))
     return out.select("symbol", *order, "drawdown", F.max("drawdown").over(frame).alias("max_drawdown"))
 
 

@@ -242,7 +242,7 @@ x AS (SELECT symbol, bar_start_ms, sum(ret * ret) OVER w AS rv, sum(abs(ret * pr
 SELECT symbol, bar_start_ms, round(rv, 4) AS rv, round(bv, 4) AS bv, round(greatest(rv - bv, 0), 4) AS jump FROM x WHERE bv IS NOT NULL""")
 def realised_variance(spark, sf_dir):
     by, frame = ordered(order=("bar_start_ms",)), last_rows(24, order=("bar_start_ms",))
-    r = hourly(spark, sf_dir).withColumn("ret", F.log(F.col("close") / F.lag("close").over(by))).withColumn("prev", F.lag("ret").over(by))
+    r = hourly(spark, sf_dir).withColumn("ret", F.log(F.try_divide("close", F.lag("close").over(by)))).withColumn("prev", F.lag("ret").over(by))
     x = r.select("symbol", "bar_start_ms", F.sum(F.col("ret") * F.col("ret")).over(frame).alias("rv"), (F.sum(F.abs(F.col("ret") * F.col("prev"))).over(frame) * F.pi() / 2).alias("bv"))
     return rounded(x.where("bv IS NOT NULL").withColumn("jump", F.greatest(F.col("rv") - F.col("bv"), F.lit(0.0))), 4)
 

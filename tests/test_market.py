@@ -140,3 +140,35 @@ def test_streaming_bars(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_zero_and_flat_prices_give_nulls_not_errors(spark):
+    prices = [0.0, 0.0, -1.0, 5.0, 5.0, 5.0, 5.0, 5.0, 0.0, 3.0]
+    rows = [("a", "binance", p, 0.0, 1 - 2 * (i % 2), i, i * 1000) for i, p in enumerate(prices)]
+    rows += [("b", "coinbase", p, 1.0, 1, i, i * 1000) for i, p in enumerate(prices)]
+    ticks = spark.createDataFrame(rows, "symbol string, exchange string, price double, quantity double, side int, trade_id long, ts_ms long")
+    bars = ticks.selectExpr("symbol", "ts_ms AS bar_start_ms", "price AS open", "price AS high", "price AS low", "price AS close", "quantity AS volume", "1L AS trade_count", "price * quantity AS turnover")
+    frame = frames.last_rows(3, order=("bar_start_ms",))
+    made = [
+        filters.not_outlier(ticks, 3, 2.0), rolling.microstructure(ticks, 2), rolling.anomalies(ticks, 3), rolling.order_flow(ticks, 3), rolling.patterns(ticks, 0.1),
+        rolling.alpha(bars, 3), rolling.drawdown(bars), rolling.candle_shapes(bars), rolling.stochastic(bars, 3, 2), bars.select(rolling.min_max("close", frame)), bars.select(frames.zscore("close", frame)),
+        reports.risk(bars), reports.weekday_effect(bars), joins.correlations(bars), joins.arbitrage(joins.latest(ticks, "symbol", "exchange"), 1.0),
+        reports.execution_quality(ticks.selectExpr("symbol", "side", "price AS executed_price", "0D AS arrival_price", "0D AS benchmark_price")),
+    ]
+    for found in made:
+        found.collect()
+    flat = filters.not_outlier(ticks.where("symbol = 'a' AND trade_id >= 3 AND trade_id <= 7"), 3, 2.0)
+    assert flat.count() == 5
+
+
+def test_quantiles_are_nearest_ranks(spark):
+    rng = random.Random(4)
+    values = {key: [rng.choice([None, 1.0, 2.0, rng.random() * 9]) for _ in range(n)] for key, n in (("x", 1), ("y", 2), ("z", 57))}
+    values["x"] = [3.0]
+    rows = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "k string, v double")
+    found = {r.k: (r.low, r.mid, r.top) for r in reports.quantiles(rows, "k", "v", {"low": 0.0, "mid": 0.5, "top": 1.0}).collect()}
+    for key, own in values.items():
+        own = sorted(v for v in own if v is not None)
+        at = lambda share: own[int(share * (len(own) - 1) + 0.5)] if own else None  # noqa: B023, E731
+        if own:
+            assert found[key] == (own[0], at(0.5), own[-1])
