@@ -55,7 +55,8 @@ def correlations(bars: DataFrame, column: str = "close") -> DataFrame:
     by = Window.partitionBy("symbol").orderBy("bar_start_ms")
     returns = bars.select("symbol", "bar_start_ms", F.log(ratio(column, F.lag(column).over(by))).alias("ret")).where("ret IS NOT NULL")
     other = returns.select(F.col("symbol").alias("other"), "bar_start_ms", F.col("ret").alias("other_ret"))
-    return returns.join(other, "bar_start_ms").where("symbol < other").groupBy(F.col("symbol").alias("a"), F.col("other").alias("b")).agg(F.corr("ret", "other_ret").alias("corr"), F.count(F.lit(1)).alias("n"))
+    correlation = ratio(F.covar_pop("ret", "other_ret"), F.stddev_pop("ret") * F.stddev_pop("other_ret"))  # null where a side is flat
+    return returns.join(other, "bar_start_ms").where("symbol < other").groupBy(F.col("symbol").alias("a"), F.col("other").alias("b")).agg(correlation.alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 def basket(prices: DataFrame, components: DataFrame) -> DataFrame:

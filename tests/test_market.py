@@ -1,10 +1,11 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tapelight.functions import sessions
+from tapelight.functions import frames, sessions
 from tapelight.operators import bars, book, filters, folds, joins, reports, rolling
 from tapelight.sources import ticks as sources
 from tapelight.streaming import live
