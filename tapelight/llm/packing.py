@@ -1,11 +1,11 @@
 """Packing token pieces into sequences: best fit, then swap-based local search.
 
-Documents become pieces of at most `capacity` tokens. Pieces are dealt by a hash of their own key into blocks
-of about `block` pieces - no text, source or group of copies can crowd one - and each block is packed by best
-fit in falling length. The local search then looks at bins with room: pieces move into other bins, one piece
-is exchanged for one, and two for one, whenever that raises the sum of squared fills, so that the emptiest bins
-run empty. The pieces of bins that still have room are dealt anew and packed once more together, so that what a
-block leaves over doesn't add up. Only piece lengths and keys are shuffled unless ids are asked for.
+Documents become pieces of at most `capacity` tokens. Pieces are dealt by a hash of the row's number into blocks of about
+`block` pieces - no text, source or repeated id can crowd one - and each block is packed by best fit in falling length.
+The local search then looks at bins with room: pieces move into other bins, one piece is exchanged for one, and two for
+one, whenever that raises the sum of squared fills, so that the emptiest bins run empty, until nothing helps. The pieces
+of bins that still have room are dealt anew and packed once more together, until that saves no sequence. Only row numbers
+and lengths take part; the pieces get their places by a join.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -80,14 +81,15 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empty bins by moves, one-for-one and two-for-one exchanges, each of which raises the sum of squared fills.
 
     The emptiest bin gives to the fuller ones that have room, until it is empty or nothing helps; then the next
     emptiest. No piece is lost: an exchange only changes places.
     """
     fill = [sum(lengths[k] for k in b) for b in bins]
-    for _ in range(rounds):
+    changed = True
+    while changed:
         changed = False
         under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
         for n, a in enumerate(under):
@@ -124,17 +126,15 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
                 fill[a] -= gain
                 fill[b] += gain
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
 def pack_block(capacity: int, level: int):
-    """An applyInPandas function: packs the pieces of one block."""
+    """An applyInPandas function: (_row, _sequence, _offset, _full) of the pieces (_row, _length, _block) of one block."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["length", "doc_id", "piece"], kind="stable").reset_index(drop=True)
-        lengths = block["length"].tolist()
+        block = block.sort_values(["_length", "_row"], kind="stable").reset_index(drop=True)
+        lengths = block["_length"].tolist()
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)
         where, offset, full = np.empty(len(block), np.int64), np.empty(len(block), np.int64), np.empty(len(block), bool)
         for number, b in enumerate(bins):
@@ -143,30 +143,45 @@ def pack_block(capacity: int, level: int):
                 where[k], offset[k] = number, at
                 at += lengths[k]
             full[b] = at == capacity
-        base = (level << 60) | (int(block["block"].iloc[0]) << 24)
-        return block.assign(sequence_id=base + where, offset=offset, full=full)
+        base = (level << 56) | (int(block["_block"].iloc[0]) << 20)
+        return pd.DataFrame({"_row": block["_row"], "_length": block["_length"], "_sequence": base + where, "_offset": offset, "_full": full})
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """The pieces (doc_id, piece, length and any others) with sequence_id and offset, gapless from 0 in each sequence.
+    """The pieces (length and any other columns, which stay as they are) with sequence_id and offset, gapless from 0.
 
-    Every piece gets a place; lengths are 1 to `capacity`. Repeated rows are packed each for itself; no pieces, no rows.
+    Every piece gets a place; lengths are 1 to `capacity`. Repeated rows, and rows with repeated or null ids, are packed
+    each for itself; no pieces, no rows. Columns named sequence_id or offset are replaced.
     """
-    names = pieces.columns
-    pieces = table(pieces)
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row = "_row"
+    while row in names:
+        row += "_"
+    pieces = table(pieces.select(*names, F.monotonically_increasing_id().alias(row)))
 
     def packed(frame: DataFrame, n: int, level: int) -> DataFrame:
         blocks = max(1, -(-n // block))
-        frame = frame.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(blocks)))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) + ", sequence_id long, offset long, full boolean"
-        return frame.groupBy("block").applyInPandas(pack_block(capacity, level), schema)
-
-    first = table(packed(pieces, pieces.count(), 0))
-    rest = first.where("NOT full").select(*names)
-    second = packed(rest, rest.count(), 1)
-    return first.where("full").unionByName(second).select(*names, "sequence_id", "offset")
+        dealt = frame.select("_row", "_length", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(blocks)).alias("_block"))
+        return table(dealt.groupBy("_block").applyInPandas(pack_block(capacity, level), "_row long, _length long, _sequence long, _offset long, _full boolean"))
+
+    def used(frame: DataFrame) -> int:
+        return frame.where("_offset = 0").count()
+
+    rest = pieces.select(F.col(row).alias("_row"), F.col("length").cast("long").alias("_length"))
+    last, level = packed(rest, pieces.count(), 0), 0
+    done = [last.where("_full")]
+    left = last.where("NOT _full")
+    while (before := used(left)) > 1:
+        level += 1
+        again = packed(left, left.count(), level)
+        if used(again) >= before:
+            break
+        done.append(again.where("_full"))
+        left = again.where("NOT _full")
+    places = reduce(DataFrame.unionByName, [*done, left]).select(F.col("_row").alias(row), F.col("_sequence").alias("sequence_id"), F.col("_offset").alias("offset"))
+    return pieces.join(places, row).select(*names, "sequence_id", "offset")
 
 
 def pack_documents(documents: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text", ids: bool = False) -> DataFrame:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.lru_cache(1)
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="tapelight-")
+
+
 def folder(spark: SparkSession) -> str:
-    """A new path under `spark.checkpoint.dir`; where that is unset (tests), under a local temporary folder."""
+    """A new path under `spark.checkpoint.dir`; where that is unset and Spark runs in this process, under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tapelight-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _own()
     return f"{base.rstrip('/')}/tapelight-{uuid.uuid4().hex}"
 
 

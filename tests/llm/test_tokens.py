@@ -159,3 +159,32 @@ def test_added_tokens_are_one_id(spark):
     name = public_tokenizers.path("byte_bpe_50k.json")
     packed = {r.doc_id: r.ids for r in packing.pack_documents(documents, name, 0, ids=True).collect()}
     assert packed[1] == Tokenizer.from_file(name).encode("x <|endoftext|> y", add_special_tokens=False).ids + [0] and 50256 in packed[1]
+
+
+def test_packing_keeps_ids_and_columns(spark):
+    """Large ids beside null ones, repeated ids, and columns named like the packing's own."""
+    big = (1 << 60) + 1
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 7 == 0 else big + k // 3, int(n), k, k * 2, "x", k) for k, n in enumerate(rng.integers(1, 1500, 300))]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long, block int, full int, offset string, _row int")
+    packed = packing.pack(pieces, block=64).collect()
+    assert sorted((r.doc_id or 0, r.length, r.block, r.full, r._row) for r in packed) == sorted((r[0] or 0, r[1], r[2], r[3], r[5]) for r in rows)
+    by_sequence = {}
+    for r in packed:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by_sequence.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    total = sum(r[1] for r in rows)
+    assert len(by_sequence) <= -(-total // 2048) + 2  # two above the least that could hold all tokens
+
+
+def test_piece_checksums(spark):
+    """ids_crc32, start and length of every piece against the tokenizer itself."""
+    documents, name = awkward(spark), public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(name)
+    texts = {r.doc_id: r.text or "" for r in documents.collect() if r.doc_id is not None}
+    ids = {i: np.array(plain.encode(t, add_special_tokens=False).ids + [0], "<u4") for i, t in texts.items()}
+    for r in packing.pack_documents(documents, name, 0).where("doc_id IS NOT NULL").collect():
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(own) == r.length and r.ids_crc32 == zlib.crc32(own.tobytes())
