@@ -28,7 +28,9 @@ from .boosting import Forest, train
 # Element names by the part they play.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title head svg math iframe object canvas audio video".split())
+RAW = frozenset("script style template noscript textarea title svg iframe object canvas audio video".split())
+#: Raw elements that swallow the rest of a page where their end is missing; the content of others is then read on.
+SWALLOW = frozenset(("script", "style"))
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 GROUPS = {
     "article": ("article", "main"), "section": ("section",), "div": ("div", "center"), "p": ("p", "blockquote", "pre"), "heading": ("h1", "h2", "h3", "h4", "h5", "h6"), "nav": ("nav", "menu"), "header": ("header", "hgroup"),
@@ -58,6 +60,7 @@ class Page:
     def parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # open elements with the node they belong to
         opened: dict[str, int] = {}
+        unclosed: set[str] = set()  # raw elements without an end in the rest of the page
         at, block = 0, 0
 
         def close(to: int) -> None:
@@ -102,8 +105,15 @@ class Page:
                 name = name.lower()
                 if name in RAW:
                     if not m[3].endswith("/") or name in ("script", "style", "title"):
-                        over = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*>?" if name != "head" else r"</head\s*>?|(?=<body)", re.I).search(source, at)
-                        at = over.end() if over else len(source)
+                        over = re.compile(rf"</{name}(?![^\s/>])[^>]*>?", re.I).search(source, at) if name not in unclosed else None
+                        if over:
+                            at = over.end()
+                        elif name in SWALLOW:
+                            at = len(source)
+                        else:
+                            unclosed.add(name)
+                    continue
+                if name == "head":  # its texts stand in raw elements; whatever else follows belongs to the body
                     continue
                 node = stack[-1][1]
                 self.tags[node] += 1
@@ -163,7 +173,8 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(parent)
     subtree, nodes = own.copy(), np.ones(n)
     up_group, up_tokens = np.where(group >= 0, 1 << np.maximum(group, 0), 0), tokens.copy()
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 1)))
     for level in reversed(levels[1:]):
         np.add.at(subtree, parent[level], subtree[level])
         np.add.at(nodes, parent[level], nodes[level])
