@@ -16,7 +16,7 @@ from .scratch import table
 
 #: (host, path, verdict): a rule fits the host and its subdomains, where the path begins with the rule's.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DAMPING, TOLERANCE, MOST_STEPS = 0.85, 1e-4, 60
+DAMPING, TOLERANCE = 0.85, 1e-4
 #: A host all of whose pages are blocked by rules has a distrust of 0.15 at least.
 THRESHOLD = 0.1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,17 +39,20 @@ def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """host, score: score = (1 - DAMPING) * seed + DAMPING * sum over edges (src, dst, weight) of score(src) * weight."""
+    """host, score: score = (1 - DAMPING) * seed + DAMPING * sum over edges (src, dst, weight) of score(src) * weight.
+
+    Every step leaves DAMPING of what is still to change at most, so that it ends once nothing moves by TOLERANCE. What
+    reaches a host without links goes no further.
+    """
     base = table(seeds.select("host", (F.col("seed") * (1 - DAMPING)).alias("seed")))
     scores = base.select("host", F.col("seed").alias("score"))
-    for step in range(MOST_STEPS):
+    while True:
         gained = edges.join(scores, edges.src == scores.host).groupBy("dst").agg(F.sum(F.col("score") * F.col("weight")).alias("gained")).withColumnRenamed("dst", "host")
         new = base.join(gained, "host", "left").select("host", (F.col("seed") + DAMPING * F.coalesce("gained", F.lit(0.0))).alias("score"))
         both = table(new.join(scores.withColumnRenamed("score", "before"), "host", "left"))
         scores = both.select("host", "score")
         if both.where(F.abs(F.col("score") - F.col("before")) > TOLERANCE).isEmpty():
-            break
-    return scores
+            return scores
 
 
 def weighted(links: DataFrame, source: str, target: str) -> DataFrame:
