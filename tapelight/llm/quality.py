@@ -136,9 +136,12 @@ def _columns(documents: DataFrame, id_column: str, text_column: str) -> DataFram
 
 
 def labelled_features(documents: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Features and 0/1 labels of at most `most` labelled documents, those with the smallest hashes of their ids."""
-    chosen = labels.where(F.col(label).isin(0, 1)).select(F.col(id_column).alias("doc_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = _columns(documents, id_column, text_column).join(F.broadcast(chosen), "doc_id")
+    """Features and 0/1 labels of at most `most` labelled documents, those with the smallest hashes of their ids.
+
+    Of several labels of one id the lowest counts, of several texts the least.
+    """
+    chosen = labels.where(F.col(label).isin(0, 1)).select(F.col(id_column).alias("doc_id"), F.col(label).cast("int").alias("label")).groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = _columns(documents, id_column, text_column).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
