@@ -35,8 +35,11 @@ from .linking import link, shared_keys, turn_of
 from .scratch import table
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
-#: Signatures further apart than this aren't confirmed: sets of similarity 0.8 are with a probability of 1e-5.
+#: Pairs whose signatures differ in so many positions or more aren't confirmed, unless `far` says otherwise: sets of
+#: similarity 0.8 are that far apart with a probability of 1e-5. CHUNKS * WIDTH + 1 confirms every pair that meets.
 FAR = 24
+#: Columns of one product of incidence matrices.
+STRIP = 1 << 16
 #: Ids of one task: of signatures, and of full sets.
 SIGNATURES, SETS = 2048, 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -156,8 +159,8 @@ def keyed(representatives: DataFrame) -> DataFrame:
     return representatives.select("id", "n", "signature").mapInArrow(run, f"key long, id {kind}, n long, turn int")
 
 
-def near_signatures(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in fewer than FAR positions."""
+def near_signatures(pairs: DataFrame, representatives: DataFrame, far: int = FAR) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in fewer than `far` positions."""
     left = representatives.select(F.col("id").alias("a"), F.col("signature").alias("x"))
     right = representatives.select(F.col("id").alias("b"), F.col("signature").alias("y"))
     kind = representatives.schema["id"].dataType.simpleString()
@@ -165,7 +168,7 @@ def near_signatures(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in "xy")
-            near = pa.array((x != y).sum(1) < FAR) if batch.num_rows else pa.array([], pa.bool_())
+            near = pa.array((x != y).sum(1) < far) if batch.num_rows else pa.array([], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(near)
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
@@ -193,7 +196,7 @@ def _sides(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(left), np.flatnonzero(~left)
 
 
-def dense_links(rows: DataFrame, representatives: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def dense_links(rows: DataFrame, representatives: DataFrame, sets: DataFrame, percent: int, far: int = FAR) -> DataFrame:
     """Links (a, b) between different components among ids (key, id, component) under one key; one for each two components."""
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -204,7 +207,7 @@ def dense_links(rows: DataFrame, representatives: DataFrame, sets: DataFrame, pe
         left, right = _sides(block)
         found = np.zeros(len(block), bool)
         for k in left:
-            near = (part[right] != part[k]) & ((signatures[right] != signatures[k]).sum(1) < FAR)
+            near = (part[right] != part[k]) & ((signatures[right] != signatures[k]).sum(1) < far)
             if near.any():
                 found[k] = True
                 found[right[near]] = True
@@ -217,15 +220,18 @@ def dense_links(rows: DataFrame, representatives: DataFrame, sets: DataFrame, pe
         part = pd.factorize(block["component"])[0]
         common = np.intersect1d(np.concatenate([shingles[k] for k in left]), np.concatenate([shingles[k] for k in right]))
 
-        def incidence(side: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(side), len(common)), np.float32)
+        def incidence(side: np.ndarray, strip: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(side), len(strip)), np.float32)
             for row, k in enumerate(side):
-                at = np.searchsorted(common, shingles[k])
-                out[row, at[common[np.minimum(at, len(common) - 1)] == shingles[k]]] = 1
+                at = np.searchsorted(strip, shingles[k])
+                out[row, at[strip[np.minimum(at, len(strip) - 1)] == shingles[k]]] = 1
             return out
 
         size = np.array([len(x) for x in shingles])
-        shared = np.rint(incidence(left) @ incidence(right).T).astype(np.int64) if len(common) else np.zeros((len(left), len(right)), np.int64)
+        shared = np.zeros((len(left), len(right)), np.int64)
+        for start in range(0, len(common), STRIP):
+            strip = common[start : start + STRIP]
+            shared += np.rint(incidence(left, strip) @ incidence(right, strip).T).astype(np.int64)
         x, y = np.nonzero((100 * shared >= percent * (size[left][:, None] + size[right] - shared)) & (part[left][:, None] != part[right]))
         x, y = left[x], right[y]
         both = np.sort(np.stack([part[x], part[y]], 1), 1)
@@ -242,13 +248,14 @@ def dense_links(rows: DataFrame, representatives: DataFrame, sets: DataFrame, pe
     return full.groupBy("cluster", "i", "j").applyInPandas(joined, f"a {kind}, b {kind}").distinct()
 
 
-def near_groups(documents: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_groups(documents: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", far: int = FAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are runs without ASCII white space, A-Z in lower case. Documents are linked when 100 * intersection >=
     percent * union of their sets of k-word shingles; a component's id is the smallest doc_id in it, whose row is kept.
     Documents without words (or with null text) are linked with nothing and kept. Ids must not be null: such rows
-    come back alone, with a null component, and kept. Repeated rows of one id share one decision. No rows, no rows.
+    come back alone, with a null component, and kept. Repeated rows of one id share one decision; where an id has
+    several texts, each is linked by its own set, and full sets are those of its least text. No rows, no rows.
     """
     slim = table(sketches(documents, k, id_column, text_column))
     real = slim.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -256,8 +263,12 @@ def near_groups(documents: DataFrame, k: int = 5, percent: int = 80, id_column:
     representatives = table(real.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature")))
     index = table(shared_keys(keyed(representatives)))
     members = index.select(F.col("id").alias(id_column)).distinct()
-    sets = table(full_sets(documents.join(members, id_column, "left_semi").dropDuplicates([id_column]), k, id_column, text_column))
-    labels = link(index, lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m), lambda pairs: confirmed(near_signatures(pairs, representatives), sets, percent), lambda rows: dense_links(rows, representatives, sets, percent))
+    shown = documents.select(id_column, text_column).join(members, id_column, "left_semi")
+    several = slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias(id_column))
+    once = shown.join(several, id_column, "left_anti")
+    repeated = shown.join(several, id_column, "left_semi").groupBy(id_column).agg(F.min(text_column).alias(text_column))
+    sets = table(full_sets(once.unionByName(repeated), k, id_column, text_column))
+    labels = link(index, lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m), lambda pairs: confirmed(near_signatures(pairs, representatives, far), sets, percent), lambda rows: dense_links(rows, representatives, sets, percent, far))
     of_set = representatives.join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     rest = slim.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = real.join(of_set, "set_id").select("doc_id", "n_shingles", "component_id").unionByName(rest)

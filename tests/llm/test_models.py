@@ -154,6 +154,42 @@ def test_extraction():
         assert isinstance(html_text.main_texts([odd], html_text.forest())[0], str)
 
 
+def test_missing_ends_lose_no_text():
+    """An open head, unclosed raw elements, formulas in the text."""
+    body = "<article><h1>A title here</h1><p>Some words of the article, and more of them here.</p><p>A second part of it, as long as the first one.</p></article>"
+    wanted = "A title here\nSome words of the article, and more of them here.\nA second part of it, as long as the first one."
+    for page in (f"<html><head><title>no</title>{body}", f"<html><head><script>if (a < b) x = '<div>no</div>';</script><title>no</title></head><body>{body}", f"<body><video src=x>{body}", f"<body><iframe src=x><object>{body}"):
+        assert html_text.main_texts([page], html_text.forest()) == [wanted]
+    assert "x squared" in html_text.main_texts([body.replace("Some words", "Some <math>x squared</math> words")], html_text.forest())[0]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    html_text.forest()
+    took = []
+    for depth in (20_000, 80_000):
+        began = time.time()
+        html_text.main_texts(["<div>" * depth + "x"], html_text.forest())
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_decoding_is_the_best_of_all_choices():
+    """Against every set of nodes in which a kept node's parent is kept."""
+    from itertools import product
+
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        n = 9
+        parent = np.array([-1, *(rng.integers(0, k) for k in range(1, n))])
+        odds = rng.normal(size=n) * 2
+        worth = np.clip(odds, -html_text.CLIP, html_text.CLIP)
+        allowed = [c for c in product([False, True], repeat=n) if c[0] and all(c[parent[k]] for k in range(1, n) if c[k])]
+        best = max(worth[np.array(c)].sum() for c in allowed)
+        assert abs(worth[html_text.keep_nodes(odds, parent, 0)].sum() - best) < 1e-9
+
+
 def test_extraction_held_out():
     rng, exact = random.Random(42), 0
     for _ in range(150):
@@ -191,8 +227,44 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_scores_are_those_of_a_plain_loop(spark):
+    """Trust and distrust of all hosts of a random graph, and the verdicts that follow from them."""
+    rng = random.Random(13)
+    hosts = [f"h{k}.{rng.choice(['com', 'org', 'net', 'info'])}" for k in range(25)]
+    pages = []
+    for k in range(120):
+        host = hosts[0] if k % 3 == 0 else rng.choice(hosts)  # a third of all pages is one host's
+        targets = [rng.choice(hosts) for _ in range(rng.randint(0, 4))]
+        pages.append((k, f"http://{host}/{rng.choice(['fr', 'en', 'de'])}/{k}", "".join(f'<a href="http://{t}/">x</a>' for t in targets), host, targets))
+    rows = url_filter.judge_urls(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()
+    verdict = {r.page_id: (r.rule, r.verdict) for r in rows}
+    seeds = {kind: {h: 0.0 for h in hosts} for kind in ("allow", "block")}
+    for h in hosts:
+        own = [p for p in pages if p[3] == h]
+        for kind in seeds:
+            seeds[kind][h] = sum(verdict[p[0]][0] is not None and verdict[p[0]][1] == kind for p in own) / len(own) if own else 0.0
+    links = {}
+    for *_, host, targets in pages:
+        for t in targets:
+            if t != host:
+                links[host, t] = links.get((host, t), 0) + 1
+
+    def scores(seed, edges):
+        out = {a: sum(n for (x, _), n in edges.items() if x == a) for a, _ in edges}
+        now = dict(seed)
+        for _ in range(300):
+            now = {h: 0.15 * seed[h] + 0.85 * sum(now[a] * n / out[a] for (a, b), n in edges.items() if b == h) for h in hosts}
+        return now
+
+    trust, distrust = scores(seeds["allow"], links), scores(seeds["block"], {(b, a): n for (a, b), n in links.items()})
+    for r in rows:
+        assert abs(r.trust - trust[r.host]) < 1e-3 and abs(r.distrust - distrust[r.host]) < 1e-3
+        if r.rule is None and abs(distrust[r.host] - 0.1) > 1e-3 and abs(distrust[r.host] - trust[r.host]) > 2e-3:
+            assert r.verdict == ("block" if distrust[r.host] >= 0.1 and distrust[r.host] > trust[r.host] else "allow")
+
+
 def test_link_graph(spark):
-    """Hosts that link to blocked ones only are blocked; those that trusted ones link to are not. Scores against a plain loop."""
+    """Hosts that link to blocked ones only are blocked; those that trusted ones link to are not."""
     def link(*hosts):
         return "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
 
