@@ -3,8 +3,9 @@
 Documents become pieces of at most `capacity` tokens. Pieces are dealt by a hash of the row's number into blocks of about
 `block` pieces - no text, source or repeated id can crowd one - and each block is packed by best fit in falling length.
 The local search then looks at bins with room: pieces move into other bins, one piece is exchanged for one, and two for
-one, whenever that raises the sum of squared fills, so that the emptiest bins run empty, until nothing helps. The pieces
-of bins that still have room are dealt anew and packed once more together, until that saves no sequence. Only row numbers
+one, whenever that raises the sum of squared fills, so that the emptiest bins run empty. The pieces of bins that still have
+room are dealt anew and packed once more together. ROUNDS of search and LEVELS of dealing anew are parameters; None goes
+on until nothing helps, and until a level saves no sequence. Only row numbers
 and lengths take part; the pieces get their places by a join.
 """
 
@@ -27,6 +28,8 @@ from .tokenizer import library_ids
 
 CAPACITY = 2048
 BLOCK = 8192
+#: More rounds and levels save few sequences for much time: see the README.
+ROUNDS, LEVELS = 4, 1
 
 
 def cut_pieces(documents: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text", ids: bool = False) -> DataFrame:
@@ -81,16 +84,17 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int | None = ROUNDS) -> list[list[int]]:
     """Empty bins by moves, one-for-one and two-for-one exchanges, each of which raises the sum of squared fills.
 
     The emptiest bin gives to the fuller ones that have room, until it is empty or nothing helps; then the next
-    emptiest. No piece is lost: an exchange only changes places.
+    emptiest; so many rounds at most, without end until nothing helps where that is None. No piece is lost: an exchange
+    only changes places.
     """
     fill = [sum(lengths[k] for k in b) for b in bins]
-    changed = True
-    while changed:
-        changed = False
+    changed, done = True, 0
+    while changed and done != rounds:
+        changed, done = False, done + 1
         under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
         for n, a in enumerate(under):
             others = under[n + 1 :]
@@ -129,13 +133,13 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     return [b for b in bins if b]
 
 
-def pack_block(capacity: int, level: int):
+def pack_block(capacity: int, level: int, rounds: int | None = ROUNDS):
     """An applyInPandas function: (_row, _sequence, _offset, _full) of the pieces (_row, _length, _block) of one block."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["_length", "_row"], kind="stable").reset_index(drop=True)
         lengths = block["_length"].tolist()
-        bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+        bins = local_search(best_fit(lengths, capacity), lengths, capacity, rounds)
         where, offset, full = np.empty(len(block), np.int64), np.empty(len(block), np.int64), np.empty(len(block), bool)
         for number, b in enumerate(bins):
             at = 0
@@ -149,7 +153,7 @@ def pack_block(capacity: int, level: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, rounds: int | None = ROUNDS, levels: int | None = LEVELS) -> DataFrame:
     """The pieces (length and any other columns, which stay as they are) with sequence_id and offset, gapless from 0.
 
     Every piece gets a place; lengths are 1 to `capacity`. Repeated rows, and rows with repeated or null ids, are packed
@@ -164,7 +168,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
     def packed(frame: DataFrame, n: int, level: int) -> DataFrame:
         blocks = max(1, -(-n // block))
         dealt = frame.select("_row", "_length", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(blocks)).alias("_block"))
-        return table(dealt.groupBy("_block").applyInPandas(pack_block(capacity, level), "_row long, _length long, _sequence long, _offset long, _full boolean"))
+        return table(dealt.groupBy("_block").applyInPandas(pack_block(capacity, level, rounds), "_row long, _length long, _sequence long, _offset long, _full boolean"))
 
     def used(frame: DataFrame) -> int:
         return frame.where("_offset = 0").count()
@@ -173,7 +177,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
     last, level = packed(rest, pieces.count(), 0), 0
     done = [last.where("_full")]
     left = last.where("NOT _full")
-    while (before := used(left)) > 1:
+    while level != levels and (before := used(left)) > 1:
         level += 1
         again = packed(left, left.count(), level)
         if used(again) >= before:
