@@ -170,7 +170,7 @@ def keep_quality(documents: DataFrame, forest: Forest, text_column: str = "text"
             for part in slices([batch], text_column, SLICE):
                 counts, x = statistics(*utf8(part.column(batch.schema.get_field_index(text_column))))
                 failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
-                yield batch.slice(at, part.num_rows).filter(pa.array(~failed & (forest.score(x) > 0)))
+                yield batch.slice(at, part.num_rows).filter(pa.array(~failed & (forest.score(x) >= 0)))
                 at += part.num_rows
 
     return documents.mapInArrow(run, documents.schema)
@@ -179,6 +179,7 @@ def keep_quality(documents: DataFrame, forest: Forest, text_column: str = "text"
 def score_quality(documents: DataFrame, forest: Forest, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for every row.
 
+    A document is kept if the trees' log odds, the score, aren't against it (even ones, as without labels, aren't).
     Null text counts as empty: no words, base_failed. Lines are split at \\n and compared whole; only lines with a word
     count. Repeated rows give repeated results; no rows give none; other columns are ignored.
     """
@@ -188,7 +189,7 @@ def score_quality(documents: DataFrame, forest: Forest, id_column: str = "doc_id
             counts, x = statistics(*utf8(batch.column("text")))
             failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
             score = forest.score(x)
-            arrays = [batch.column("doc_id"), *(pa.array(v.astype(np.int64)) for v in counts.values()), pa.array(failed), pa.array(~failed & (score > 0)), pa.array(score)]
+            arrays = [batch.column("doc_id"), *(pa.array(v.astype(np.int64)) for v in counts.values()), pa.array(failed), pa.array(~failed & (score >= 0)), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *counts, "base_failed", "kept", "score"])
 
     kind = documents.schema[id_column].dataType.simpleString()
