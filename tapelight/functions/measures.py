@@ -65,3 +65,35 @@ def boost_measures(beta: Column) -> dict[str, Column]:
     """Scalars of a Lorentz boost of 0 <= beta < 1."""
     gamma = 1 / F.sqrt(1 - beta * beta)
     return {"gamma": gamma, "rapidity": F.atanh(beta), "doppler": F.sqrt((1 + beta) / (1 - beta)), "kinetic": gamma - 1, "momentum": gamma * beta, "contraction": 1 / gamma, "approximate": 1 + beta * beta / 2, "warp": F.cbrt(gamma), "beta_back": F.sqrt(1 - 1 / (gamma * gamma)), "added": (beta + 0.5) / (1 + 0.5 * beta)}
+
+
+def boost_algebra(beta: Column, other: Column, mass: Column, dt: Column, dx: Column) -> dict[str, Column]:
+    """Boosts composed, energies and momenta of a mass, and intervals between events dt and dx apart; c = 1."""
+    gamma = 1 / F.sqrt(1 - beta * beta)
+    energy, momentum = gamma * mass, gamma * beta * mass
+    interval = dt * dt - dx * dx
+    cosine = dx / F.sqrt(dx * dx + dt * dt)
+    seen = (cosine - beta) / (1 - beta * cosine)
+    moved = (cosine + beta) / (1 + beta * cosine)
+    return {
+        "composed": (beta + other) / (1 + beta * other), "chained": F.tanh(F.atanh(beta) + F.atanh(other) + F.atanh(beta)), "of_rapidity": F.tanh(beta + other), "dilated": gamma * dt, "contracted": dx / gamma, "stretched": gamma * dx, "proper_time": dt / gamma,
+        "energy": energy, "kinetic": energy - mass, "momentum": momentum, "invariant": energy * energy - momentum * momentum, "mass": F.when(dt * dt >= dx * dx, F.sqrt(F.abs(interval))), "acceleration": dt / (gamma * gamma * gamma * mass),
+        "interval": interval, "distance": F.sqrt(F.abs(interval)), "cone": F.when(interval > 1e-12, "timelike").when(interval < -1e-12, "spacelike").otherwise("lightlike"),
+        "aberration": seen, "aberration_angle": F.acos(F.greatest(F.least(moved, F.lit(1.0)), F.lit(-1.0))),
+    }
+
+
+def tick_times(start_ms: int, end_ms: int, exchange_ms: Column) -> dict[str, Column]:
+    """Whether a tick lies in a session [start, end), has the exchange's time, and how late it came after it."""
+    late = C("ts_ms") - exchange_ms
+    return {"in_session": (C("ts_ms") >= start_ms) & (C("ts_ms") < end_ms), "has_exchange_ts": exchange_ms.isNotNull(), "latency_ms": F.greatest(late, F.lit(0))}
+
+
+def bar_ratios(by: WindowSpec, mean_volume: float, wide: float) -> dict[str, Column]:
+    """More measures of a bar, some against the one before; ratios are null over 0."""
+    o, h, low, c, v = C("open"), C("high"), C("low"), C("close"), C("volume")
+    po, ph, pl, pc = (F.lag(x).over(by) for x in ("open", "high", "low", "close"))
+    return {
+        "has_upper_wick": h > F.greatest(o, c), "has_lower_wick": low < F.least(o, c), "volume_notional": v * c, "relative_volume": ratio(v, F.lit(mean_volume)), "high_close_ratio": ratio(h, c), "open_close_ratio": ratio(o, c), "close_to_low_ratio": ratio(c - low, h - low), "height_pct": ratio(h - low, o) * 100,
+        "is_wide": h - low > wide, "is_engulfing": (F.greatest(o, c) > F.greatest(po, pc)) & (F.least(o, c) < F.least(po, pc)), "is_bullish_engulfing": (pc < po) & (c > o) & (o < pc) & (c > po), "is_intraday_reversal": ((pc > po) & (o > pc) & (c < o)) | ((pc < po) & (o < pc) & (c > o)), "range_overlap": F.greatest(F.least(h, ph) - F.greatest(low, pl), F.lit(0.0)),
+    }
