@@ -414,7 +414,14 @@ def calendar_flags(spark, sf_dir):
     return days.select(day.cast("string").alias("day"), sessions.is_triple_witching(day).alias("triple_witching"), sessions.is_earnings_season(day).alias("earnings"), sessions.week_of_month(day).cast("long").alias("week_of_month"))
 
 
-@query()
+#: The calendar of the events' months, with all market holidays from December 2023 to February 2024.
+NEW_YORK = """c AS (SELECT CAST(d AS DATE) AS day, isodow(d) <= 5 AND CAST(d AS DATE) NOT IN ('2023-12-25', '2024-01-01', '2024-01-15', '2024-02-19') AS trading FROM generate_series(DATE '2023-12-20', DATE '2024-02-25', INTERVAL 1 DAY) s(d)),
+n AS (SELECT c.day, c.trading, min(o.day) AS next_day FROM c LEFT JOIN c o ON o.day > c.day AND o.trading GROUP BY 1, 2),
+y AS (SELECT trade_id, ts_ms, (epoch_ms(ts_ms) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local FROM t),
+z AS (SELECT y.*, trading, next_day, CAST(local AS DATE) AS day, hour(local) * 60 + minute(local) AS m, hour(local) * 3600000 + minute(local) * 60000 + ts_ms % 60000 AS ms FROM y JOIN n ON n.day = CAST(y.local AS DATE))"""
+
+
+@query("{T}, " + NEW_YORK + """ SELECT symbol, CASE WHEN NOT trading THEN 'Closed' WHEN m >= 570 AND m < 960 THEN 'Open' WHEN m >= 240 AND m < 1200 THEN 'Extended' ELSE 'Closed' END AS status, count(*) AS n FROM t JOIN z USING (trade_id) GROUP BY 1, 2""")
 def sessions_us_equity(spark, sf_dir):
     t = ticks(spark, sf_dir)
     days = sessions.calendar(spark, 2000, 2035)
@@ -447,43 +454,83 @@ def feeds_merged(spark, sf_dir):
 
 EMA = """{B}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_start_ms) AS i FROM b), r AS (WITH RECURSIVE f AS (SELECT symbol, CAST(14 AS BIGINT) AS i, avg(close) AS v FROM n WHERE i <= 14 GROUP BY symbol HAVING count(*) = 14 UNION ALL SELECT n.symbol, n.i, f.v + 2.0 / 15 * (n.close - f.v) FROM f JOIN n ON n.symbol = f.symbol AND n.i = f.i + 1) SELECT * FROM f) SELECT n.symbol, n.bar_start_ms, round(r.v, 6) AS ema FROM n LEFT JOIN r ON n.symbol = r.symbol AND n.i = r.i"""
 
+STEPS = """{B}, n AS (SELECT *, row_number() OVER w AS i, close - lag(close) OVER w AS ch, ln(close / lag(close) OVER w) AS ret, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(close) OVER w AS pc FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_start_ms))"""
+
+
+def recursion(first: str, step: str, rows: str = "n") -> str:
+    """SQL of a fold f over numbered rows: the first state, then one row after the other."""
+    return f"(WITH RECURSIVE f AS ({first} UNION ALL SELECT {rows}.symbol, {rows}.i, {step} FROM f JOIN {rows} ON {rows}.symbol = f.symbol AND {rows}.i = f.i + 1) SELECT * FROM f)"
+
+
+def averaged(column: str, n: int, weight: str, begin: int = 1, rows: str = "n") -> str:
+    """SQL of an average that begins with the mean of n rows and then moves by `weight` of each row's difference."""
+    last = begin + n - 1
+    first = f"SELECT symbol, CAST({last} AS BIGINT) AS i, avg({column}) AS v FROM {rows} WHERE i BETWEEN {begin} AND {last} GROUP BY symbol HAVING count(*) = {n}"
+    return recursion(first, f"f.v + {weight} * ({rows}.{column} - f.v)", rows)
+
+
+RSI = STEPS + ", g AS (SELECT symbol, i, greatest(ch, 0) AS up, greatest(-ch, 0) AS dn FROM n), u AS " + averaged("up", 14, "1.0 / 14", 2, "g") + ", d AS " + averaged("dn", 14, "1.0 / 14", 2, "g") + """
+SELECT n.symbol, bar_start_ms, round(CASE WHEN d.v = 0 THEN 100 ELSE 100 - 100 / (1 + u.v / d.v) END, 6) AS rsi FROM n LEFT JOIN u ON n.symbol = u.symbol AND n.i = u.i LEFT JOIN d ON n.symbol = d.symbol AND n.i = d.i"""
+
+ATR = STEPS + ", g AS (SELECT symbol, i, CASE WHEN i = 1 THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM n), a AS " + averaged("tr", 14, "1.0 / 14", 1, "g") + """
+SELECT n.symbol, bar_start_ms, round(v, 6) AS atr FROM n LEFT JOIN a ON n.symbol = a.symbol AND n.i = a.i"""
+
+MACD = STEPS + ", x AS " + averaged("close", 12, "2.0 / 13") + ", y AS " + averaged("close", 26, "2.0 / 27") + ", l AS (SELECT x.symbol, x.i, x.v - y.v AS line FROM x JOIN y ON x.symbol = y.symbol AND x.i = y.i), z AS " + averaged("line", 9, "2.0 / 10", 26, "l") + """
+SELECT n.symbol, bar_start_ms, round(line, 6) + 0.0 AS macd, round(z.v, 6) + 0.0 AS signal, round(line - z.v, 6) + 0.0 AS histogram FROM n LEFT JOIN l ON n.symbol = l.symbol AND n.i = l.i LEFT JOIN z ON n.symbol = z.symbol AND n.i = z.i"""
+
+ADX_FIRST = "SELECT symbol, i, CAST(0 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS r, CAST(0 AS DOUBLE) AS v FROM g WHERE i = 1"
+ADX_PART = "CASE WHEN f.p * 13 / 14 + up + f.m * 13 / 14 + dn > 0 AND f.r * 13 / 14 + tr > 0 THEN 100 * abs(f.p * 13 / 14 + up - f.m * 13 / 14 - dn) / (f.p * 13 / 14 + up + f.m * 13 / 14 + dn) ELSE 0 END"
+ADX = STEPS + """, g AS (SELECT symbol, i, CASE WHEN high - ph > pl - low AND high > ph THEN high - ph ELSE 0 END AS up, CASE WHEN pl - low > high - ph AND pl > low THEN pl - low ELSE 0 END AS dn, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM n), a AS """ + recursion(ADX_FIRST, f"f.p * 13 / 14 + up, f.m * 13 / 14 + dn, f.r * 13 / 14 + tr, (f.v * 13 + {ADX_PART}) / 14", "g") + """
+SELECT n.symbol, bar_start_ms, round(CASE WHEN n.i > 1 THEN v END, 6) AS adx FROM n JOIN a ON n.symbol = a.symbol AND n.i = a.i"""
+
+GARCH = STEPS + ", g AS (SELECT symbol, i, lag(ret) OVER (PARTITION BY symbol ORDER BY i) AS last FROM n), a AS " + recursion("SELECT symbol, i, CAST(1e-4 / (1 - 0.1 - 0.85) AS DOUBLE) AS v FROM g WHERE i = 1", "CASE WHEN g.i = 2 THEN f.v ELSE 1e-4 + 0.1 * last * last + 0.85 * f.v END", "g") + """
+SELECT n.symbol, bar_start_ms, round(v, 6) AS variance FROM n JOIN a ON n.symbol = a.symbol AND n.i = a.i"""
+
+EWMA = STEPS + ", a AS " + recursion("SELECT symbol, i, ret * ret AS v FROM n WHERE i = 2", "0.94 * f.v + 0.06 * n.ret * n.ret") + """
+SELECT n.symbol, bar_start_ms, round(v, 6) AS variance FROM n LEFT JOIN a ON n.symbol = a.symbol AND n.i = a.i"""
+
+HELD = """CASE WHEN f.held * s >= 0 THEN CASE WHEN f.held + s != 0 THEN (f.held * f.cost + s * price) / (f.held + s) ELSE 0 END WHEN abs(s) > abs(f.held) THEN price WHEN f.held + s = 0 THEN 0 ELSE f.cost END"""
+POSITIONS = """{T}, n AS (SELECT symbol, trade_id, side * quantity AS s, price, row_number() OVER (PARTITION BY symbol ORDER BY trade_id) AS i FROM t WHERE quantity > 0), a AS """ + recursion(
+    "SELECT symbol, i, s AS held, price AS cost, CAST(0 AS DOUBLE) AS realised FROM n WHERE i = 1", f"f.held + s, {HELD}, f.realised + CASE WHEN f.held * s < 0 THEN least(abs(f.held), abs(s)) * sign(f.held) * (price - f.cost) ELSE 0 END") + """
+SELECT n.symbol, trade_id, held AS position, round(cost, 6) + 0.0 AS average_cost, round(realised, 6) + 0.0 AS realised FROM n JOIN a ON n.symbol = a.symbol AND n.i = a.i"""
+
 
 @query(EMA)
 def indicator_ema(spark, sf_dir):
     return rounded(folds.with_ema(hourly(spark, sf_dir), 14))
 
 
-@query()
+@query(RSI)
 def indicator_rsi(spark, sf_dir):
     return rounded(folds.rsi(hourly(spark, sf_dir)))
 
 
-@query()
+@query(ATR)
 def indicator_atr(spark, sf_dir):
     return rounded(folds.atr(hourly(spark, sf_dir)))
 
 
-@query()
+@query(MACD)
 def indicator_macd(spark, sf_dir):
     return rounded(folds.macd(hourly(spark, sf_dir)))
 
 
-@query()
+@query(ADX)
 def indicator_adx(spark, sf_dir):
     return rounded(folds.adx(hourly(spark, sf_dir)))
 
 
-@query()
+@query(GARCH)
 def volatility_garch(spark, sf_dir):
     return rounded(folds.garch(hourly(spark, sf_dir), 1e-4, 0.1, 0.85))
 
 
-@query()
+@query(EWMA)
 def volatility_ewma(spark, sf_dir):
     return rounded(folds.ewma_volatility(hourly(spark, sf_dir)))
 
 
-@query()
+@query(POSITIONS)
 def positions_average_cost(spark, sf_dir):
     return rounded(folds.positions(ticks(spark, sf_dir).where("quantity > 0")))
 

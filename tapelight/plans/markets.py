@@ -8,7 +8,7 @@ from ..functions import measures as M
 from ..functions import sessions
 from ..functions.frames import ordered
 from ..operators import analytics, book, depth, reports, signals
-from .catalog import DELTAS, HOUR, deltas, hourly, query, rounded
+from .catalog import DELTAS, HOUR, NEW_YORK, deltas, hourly, query, rounded
 from .measures import named
 from .ticks import table, ticks
 
@@ -51,12 +51,6 @@ def book_depth_chart(spark, sf_dir):
 
 # Clocks -------------------------------------------------------------------------------------------------------------
 
-#: The calendar of the events' months, with all market holidays from December 2023 to February 2024.
-NEW_YORK = """c AS (SELECT CAST(d AS DATE) AS day, isodow(d) <= 5 AND CAST(d AS DATE) NOT IN ('2023-12-25', '2024-01-01', '2024-01-15', '2024-02-19') AS trading FROM generate_series(DATE '2023-12-20', DATE '2024-02-25', INTERVAL 1 DAY) s(d)),
-n AS (SELECT c.day, c.trading, min(o.day) AS next_day FROM c LEFT JOIN c o ON o.day > c.day AND o.trading GROUP BY 1, 2),
-y AS (SELECT trade_id, ts_ms, (epoch_ms(ts_ms) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local FROM t),
-z AS (SELECT y.*, trading, next_day, CAST(local AS DATE) AS day, hour(local) * 60 + minute(local) AS m, hour(local) * 3600000 + minute(local) * 60000 + ts_ms % 60000 AS ms FROM y JOIN n ON n.day = CAST(y.local AS DATE))"""
-
 
 def new_york_ticks(spark, sf_dir):
     """Ticks with their New York day, whether it is a trading day, and the next one; the calendar has 13,000 days."""
