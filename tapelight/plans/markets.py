@@ -8,6 +8,7 @@ from ..functions import measures as M
 from ..functions import sessions
 from ..functions.frames import ordered
 from ..operators import analytics, book, depth, reports, signals
+from ..sources import events
 from .catalog import DELTAS, HOUR, NEW_YORK, deltas, hourly, query, rounded
 from .measures import named
 from .ticks import table, ticks
@@ -228,3 +229,43 @@ def feed_health_summary(spark, sf_dir):
     now = t.agg(F.max("ts_ms")).first()[0]  # one number
     out = signals.health_summary(reports.feed_health(t.withColumnRenamed("exchange", "feed_id"), now or 0, 60_000))
     return rounded(out.withColumn("mean_age_ms", F.round("mean_age_ms", 4)))
+
+
+# Events of feeds --------------------------------------------------------------------------------------------------------
+
+
+@query("""{T}, k AS (SELECT *, trade_id % 6 AS k FROM t) SELECT trade_id, CASE k WHEN 0 THEN 'trade' WHEN 1 THEN 'quote' WHEN 2 THEN 'bar' WHEN 3 THEN 'book' WHEN 4 THEN 'status' END AS kind, CASE WHEN k < 5 THEN symbol END AS symbol,
+  CASE k WHEN 0 THEN ts_ms * 1000 WHEN 1 THEN ts_ms * 1000000 WHEN 2 THEN (ts_ms // 1000) * 1000000 WHEN 5 THEN NULL ELSE 0 END AS timestamp_ns, CASE WHEN k = 0 THEN price END AS price, CASE WHEN k = 0 THEN quantity END AS size, CASE WHEN k = 0 THEN CASE WHEN side > 0 THEN 'buy' ELSE 'sell' END END AS side,
+  CASE WHEN k = 1 THEN price END AS bid, CASE WHEN k = 1 THEN price + 1 END AS ask, CASE WHEN k = 1 THEN quantity END AS bid_size, CASE WHEN k = 1 THEN CAST(0 AS DOUBLE) END AS ask_size, CASE WHEN k = 2 THEN price END AS close, CASE WHEN k = 2 THEN 60 END AS period_secs,
+  CASE WHEN k = 3 THEN price END AS best_bid, CASE WHEN k = 3 THEN 2 END AS n_asks, CASE WHEN k = 3 THEN trade_id END AS sequence, CASE WHEN k = 3 THEN true END AS is_snapshot, CASE WHEN k = 4 THEN 'throttled' END AS status, CASE WHEN k = 4 THEN 'Rate_Limited' END AS message FROM k""")
+def sources_json_events(spark, sf_dir):
+    """Payloads of five kinds, and text that is none, built from the ticks and parsed."""
+    c = F.col
+    pair = lambda p: F.array(c(p) if p == "price" else c("price") + 1, c("quantity"))
+    payloads = [
+        F.struct(F.lit("trade").alias("type"), c("symbol").alias("sym"), c("price").cast("string").alias("p"), c("quantity").alias("q"), F.when(c("side") > 0, "BUY").otherwise("s").alias("taker_side"), c("ts_ms").alias("timestamp")),
+        F.struct(c("symbol").alias("product_id"), c("price").alias("bid"), (c("price") + 1).alias("ask"), c("quantity").alias("bs"), (c("ts_ms") * 1_000_000).alias("ts_ns")),
+        F.struct(F.lit("bar").alias("type"), c("symbol").alias("ticker"), *(c("price").alias(x) for x in "ohlc"), F.floor(c("ts_ms") / 1000).alias("time")),
+        F.struct(c("symbol"), F.array(pair("price")).alias("bids"), F.array(pair("ask"), pair("ask")).alias("asks"), c("trade_id").alias("seq"), F.lit(True).alias("snapshot")),
+        F.struct(F.lit("Rate_Limited").alias("status"), c("symbol").alias("s")),
+    ]
+    payload = F.lit("no payload")
+    for k, fields in enumerate(payloads):
+        payload = F.when(c("trade_id") % 6 == k, F.to_json(fields)).otherwise(payload)
+    out = events.parse_events(ticks(spark, sf_dir).select("trade_id", payload.alias("payload")))
+    return out.select(
+        "trade_id", "kind", "symbol", "timestamp_ns", *("trade." + x for x in ("price", "size", "side")), *("quote." + x for x in ("bid", "ask", "bid_size", "ask_size")), "bar.close", "bar.period_secs",
+        F.get("book.bids", 0).price.alias("best_bid"), F.when(c("book").isNotNull(), F.size("book.asks")).alias("n_asks"), "book.sequence", "book.is_snapshot", "status.status", "status.message",
+    )
+
+
+@query("""{T}, b AS (SELECT trade_id, symbol, quantity, '35=D' || chr(1) || '34=' || trade_id || chr(1) || '38=' || CAST(quantity AS BIGINT) || chr(1) || '55=' || symbol || chr(1) AS body FROM t), f AS (SELECT *, '8=FIX.4.2' || chr(1) || '9=' || length(body) || chr(1) || body AS framed FROM b)
+SELECT trade_id, 'D' AS msg_type, symbol, CAST(quantity AS BIGINT) AS quantity, lpad(CAST(CAST(list_sum(list_transform(string_split(framed, ''), lambda c: ord(c))) AS BIGINT) % 256 AS VARCHAR), 3, '0') AS checksum, CASE WHEN trade_id % 7 = 0 THEN 'the checksum is wrong' END AS error FROM f""")
+def sources_fix_messages(spark, sf_dir):
+    """Messages written from the ticks, one in seven damaged, and parsed."""
+    fields = F.create_map(F.lit(55), F.col("symbol"), F.lit(38), F.col("quantity").cast("long").cast("string"), F.lit(34), F.col("trade_id").cast("string"))
+    sent = ticks(spark, sf_dir).select("trade_id", events.fix_message(F.lit("D"), fields).alias("message"))
+    sent = sent.withColumn("message", F.when(F.col("trade_id") % 7 == 0, F.replace("message", F.lit("FIX.4.2\x01"), F.lit("FIX.4.2\x01\x01"))).otherwise(F.col("message")))
+    out = events.parse_fix(sent)
+    value = lambda tag: events.fix_value(F.col("fields"), tag)
+    return out.select("trade_id", "msg_type", value(55).alias("symbol"), value(38).cast("long").alias("quantity"), value(10).alias("checksum"), "error")

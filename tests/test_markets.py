@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapelight.functions import measures, sessions
 from tapelight.functions.frames import ordered
 from tapelight.operators import depth, signals
+from tapelight.sources import events
 
 
 def millis(*when):
@@ -117,3 +118,31 @@ def test_boosts_and_ratios(spark):
     rows = bars(spark, [9, 12]).selectExpr("symbol", "bar_start_ms", "IF(bar_start_ms = 0, 10.0D, 8.0D) AS open", "GREATEST(open, close) AS high", "LEAST(open, close) AS low", "close", "0.0D AS volume")
     out = rows.select("bar_start_ms", *(c.alias(n) for n, c in measures.bar_ratios(ordered(order=("bar_start_ms",)), 0.0, 3.0).items())).orderBy("bar_start_ms").collect()
     assert out[1].is_bullish_engulfing and out[1].is_engulfing and out[1].is_intraday_reversal and out[1].relative_volume is None and out[1].range_overlap == 1
+
+
+def test_json_events(spark):
+    payloads = [
+        '{"price": "10.5", "size": 2, "symbol": "A", "side": "B", "timestamp": 1700000000000000}', '{"type": "trade", "sym": "A", "p": 1}', '{"type": "bar", "s": "A", "o": 1, "h": 2, "l": 0.5, "c": 1.5, "vw": null}',
+        '{"type": "book", "s": "A", "bids": [["1", "2"], ["x", 1]], "asks": []}', '{"status": "odd"}', "[1, 2]", "", None, '{"type": "quote", "s": "A", "bid": 1, "ask": 2}', '{"type": "other", "price": 1, "size": 1, "symbol": "A"}',
+    ]
+    rows = events.parse_events(spark.createDataFrame(list(enumerate(payloads)), "n int, payload string")).orderBy("n").collect()
+    assert [r.kind for r in rows] == ["trade", None, "bar", "book", "status", None, None, None, "quote", None]
+    trade, bar, book, status, quote = (rows[i] for i in (0, 2, 3, 4, 8))
+    assert (trade.trade.price, trade.trade.size, trade.trade.side, trade.timestamp_ns, trade.quote) == (10.5, 2, "buy", 1700000000000000, None)
+    assert (bar.bar.close, bar.bar.volume, bar.bar.vwap, bar.bar.period_secs, bar.timestamp_ns) == (1.5, 0, None, 60, 0)
+    assert [tuple(x) for x in book.book.bids] == [(1, 2)] and book.book.asks == [] and not book.book.is_snapshot
+    assert tuple(status.status) == ("connected", "odd") and status.symbol is None and quote.quote.ask_size == 0
+
+
+def test_fix(spark):
+    def framed(body, begin="8=FIX.4.2"):
+        text = f"{begin}|9={len(body.encode())}|{body}".replace("|", "\x01")
+        return text + f"10={sum(text.encode()) % 256:03}\x01"
+
+    good = framed("35=D|44=1=2|55=\u00e9|55=B|")
+    cases = [good, framed("35=D|", "8=FIX.4.4"), good[:-2] + "x\x01", framed("44=1|"), framed("35=D|x=1|"), framed("35=D|bare|"), "", None]
+    rows = events.parse_fix(spark.createDataFrame(list(enumerate(cases)), "n int, message string")).select("n", "msg_type", "error", events.fix_value(F.col("fields"), 55).alias("symbol"), events.fix_value(F.col("fields"), 44).alias("price")).orderBy("n").collect()
+    assert (rows[0].error, rows[0].msg_type, rows[0].symbol, rows[0].price) == (None, "D", "B", "1=2")
+    assert [r.error for r in rows[1:]] == ["the version isn't FIX.4.2", "the checksum isn't a number", "tag 35 is missing", "a tag isn't a number", "a field has no separator", "tag 8 is missing", "tag 8 is missing"]
+    made = spark.range(1).select(events.fix_message(F.lit("D"), F.create_map(F.lit(55), F.lit("\u00e9"), F.lit(34), F.lit("7"), F.lit(8), F.lit("no"))).alias("m")).first().m
+    assert made == framed("35=D|34=7|55=\u00e9|")
