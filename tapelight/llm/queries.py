@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, quality, token_file, url_filter
+from . import byte_bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, quality, resample, token_file, url_filter
 from .scratch import folder
 
 
@@ -65,8 +65,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = [
+    op1_token_files, op2_pii, op3_line_dedup, op4_minhash_near_dedup, op5_exact_dedup, op6_html_extraction, op7_url_filter,
+    op8_byte_bpe, op9_quality_rules, op10_best_fit_packing, op13_importance_resampling,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_pii, op3_line_dedup, op4_minhash_near_dedup, op5_exact_dedup, op6_html_extraction, op7_url_filter, op8_byte_bpe, op9_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 #: SQL for the same rows, where SQL can express them.
@@ -76,4 +86,30 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op13_importance_resampling": r"""
+        WITH RECURSIVE turns AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i) UNION ALL
+            SELECT i, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM turns WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM turns WHERE k = 8),
+        texts AS (SELECT 'd' AS side, row_number() OVER () AS id, doc_id, text FROM documents
+            UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+        worded AS MATERIALIZED (SELECT side, id, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        runs AS (SELECT side, id, unnest(w) AS f FROM worded
+            UNION ALL SELECT side, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded
+            UNION ALL SELECT side, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM worded),
+        counted AS MATERIALIZED (SELECT side, id, f, count(*) AS n FROM runs GROUP BY ALL),
+        hashed AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(f))),
+            lambda i: ('0x' || hex(encode(f))[2 * i + 1:2 * i + 2])::BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted), crc),
+        bucketed AS MATERIALIZED (SELECT side, id, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+        both_sides AS (SELECT r.i AS bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t
+            FROM range(10000) r(i) LEFT JOIN bucketed b ON b.bucket = r.i GROUP BY r.i),
+        gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM both_sides),
+        weights AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM bucketed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+        scored AS (SELECT id, doc_id, len(w) >= 20 AS long_enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM worded LEFT JOIN weights USING (id) WHERE side = 'd'),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id NULLS FIRST) AS place,
+            5 * count(*) OVER (PARTITION BY long_enough) // 100 AS drawn FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN long_enough AND place <= drawn THEN place END AS rank FROM placed""",
 }
