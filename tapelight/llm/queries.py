@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, quality, resample, token_file, url_filter
+from . import byte_bpe, collocations, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, quality, resample, token_file, url_filter
 from .scratch import folder
 
 
@@ -65,13 +65,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 QUERIES = [
     op1_token_files, op2_pii, op3_line_dedup, op4_minhash_near_dedup, op5_exact_dedup, op6_html_extraction, op7_url_filter,
-    op8_byte_bpe, op9_quality_rules, op10_best_fit_packing, op13_importance_resampling,
+    op8_byte_bpe, op9_quality_rules, op10_best_fit_packing, op12_collocations, op13_importance_resampling,
 ]
 
 
@@ -86,6 +90,25 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op12_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+        worded AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        words AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang),
+        phrases AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+            FROM worded, range(1, 6) r(size) WHERE len(w) >= size),
+        frequent AS MATERIALIZED (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM phrases GROUP BY ALL HAVING count(*) >= 100),
+        longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f,
+            unnest([array_to_string(string_split(phrase, ' ')[1:size - 1], ' '), array_to_string(string_split(phrase, ' ')[2:size], ' ')]) AS phrase
+            FROM frequent WHERE size >= 3) GROUP BY ALL),
+        cuts AS (SELECT c.lang, c.phrase, c.f AS a, n, k, h.f AS l, t.f AS r, 1000 * c.f * n // (h.f * t.f) AS score
+            FROM (SELECT f.*, unnest(range(1, size)) AS k FROM frequent f LEFT JOIN longer g USING (lang, phrase) WHERE size >= 2 AND (g.f IS NULL OR g.f < f.f)) c
+            JOIN words USING (lang)
+            JOIN frequent h ON h.lang = c.lang AND h.phrase = array_to_string(string_split(c.phrase, ' ')[1:k], ' ')
+            JOIN frequent t ON t.lang = c.lang AND t.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ')),
+        scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER w AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM scored WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000""",
     "op13_importance_resampling": r"""
         WITH RECURSIVE turns AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i) UNION ALL
             SELECT i, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM turns WHERE k < 8),

@@ -2,11 +2,12 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
-from tapelight.llm import resample
+from tapelight.llm import collocations, resample
 
 from .helpers import awkward, none, words
 
@@ -33,8 +34,6 @@ def brute_resample(documents, target, percent=5, least=20):
 
 
 def test_resampling_against_brute_force(spark):
-    import random
-
     rng = random.Random(3)
     documents = awkward(spark, extra=["Aa Bb, cc-ddé 42 \U0001f600 x", *(words(rng, rng.randint(10, 60)) for _ in range(40))]).repartition(5)
     target = spark.createDataFrame([(None,), ("the aa bb cc",), (words(rng, 50),), ("",)], "text string")
@@ -48,3 +47,49 @@ def test_resampling_of_nothing(spark):
     assert resample.resample(none(spark), none(spark)).count() == 0
     found = resample.resample(awkward(spark), none(spark)).collect()
     assert len(found) == awkward(spark).count() and all(r.weight == 0 for r in found if not r.n_features)
+
+
+def brute_collocations(rows, least, most, longest=5):
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    frequent = {key: a for key, a in f.items() if a >= least}
+    inside = {(lang, p[i : i + k]) for (lang, p), a in frequent.items() for k in range(1, len(p)) for i in range(len(p) - k + 1) if 100 * a >= 100 * f[lang, p[i : i + k]]}
+    out = {}
+    for (lang, p), a in frequent.items():
+        if len(p) > 1 and (lang, p) not in inside:
+            score, k = min((1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+            out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    return {(lang, rank, p.decode(), -a, left, right, n[lang], -score) for lang, of in out.items() for rank, (score, a, p, left, right) in enumerate(sorted(of)[:most], 1)}
+
+
+def test_collocations_against_brute_force(spark):
+    rng = random.Random(4)
+    few = ["a", "B", "\u00e9", "x\x00", "\U0001f600", "the"]
+    texts = ["".join(rng.choice(few) + rng.choice([" ", " ", "  ", "\t", ", ", ".", "\n", " \r\n"]) for _ in range(rng.randint(0, 200))) for _ in range(60)]
+    texts += ["a a a a a a a a a", "the b the b the b the b.the b"] * 3
+    rows = [(rng.choice(["en", "de", None, "und"]), t) for t in texts]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "lang string, text string, rank int").repartition(7).union(awkward(spark).selectExpr("lang", "text", "id AS rank"))
+    every = [(r.lang, r.text) for r in frame.collect()]
+    for least, most in ((5, 2000), (30, 7), (1_000_000, 5)):
+        found = {tuple(r) for r in collocations.collocations(frame, least=least, most=most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()}
+        assert found == brute_collocations(every, least, most)
+
+
+def test_collocations_of_nothing(spark):
+    assert collocations.collocations(none(spark)).count() == 0
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    """With a bitmap far too small everything passes it, and the exact threshold decides."""
+    monkeypatch.setattr(collocations, "LEAST_BITS", 6)
+    monkeypatch.setattr(collocations, "MOST_BITS", 6)
+    rng = random.Random(6)
+    rows = [("en", words(rng, 3) + " of the one of the two " + words(rng, 2)) for _ in range(50)]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    found = {tuple(r) for r in collocations.collocations(frame, least=20).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()}
+    assert found == brute_collocations(rows, 20, 2000)
