@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, collocations, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, quality, resample, token_file, url_filter
+from . import byte_bpe, collocations, exact_dedup, html_text, line_dedup, maxent, near_dedup, packing, pii, quality, resample, token_file, url_filter
 from .scratch import folder
 
 
@@ -65,6 +65,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
@@ -75,7 +79,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     op1_token_files, op2_pii, op3_line_dedup, op4_minhash_near_dedup, op5_exact_dedup, op6_html_extraction, op7_url_filter,
-    op8_byte_bpe, op9_quality_rules, op10_best_fit_packing, op12_collocations, op13_importance_resampling,
+    op8_byte_bpe, op9_quality_rules, op10_best_fit_packing, op11_language_model, op12_collocations, op13_importance_resampling,
 ]
 
 

@@ -7,7 +7,11 @@ import re
 import zlib
 from collections import Counter
 
-from tapelight.llm import collocations, resample
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tapelight.llm import collocations, maxent, resample
 
 from .helpers import awkward, none, words
 
@@ -93,3 +97,69 @@ def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "lang string, text string")
     found = {tuple(r) for r in collocations.collocations(frame, least=20).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()}
     assert found == brute_collocations(rows, 20, 2000)
+
+
+def brute_unigram(rows):
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score by plain loops."""
+    split = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2, [*re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(LOWER)), None]) for i, t in rows]
+    c = Counter(w for _, held, ws in split if not held for w in ws)
+    n, v = sum(c.values()), len(c)
+    return sorted(((i, held, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, held, ws in split), key=repr)
+
+
+def unigram(found):
+    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found), key=repr)
+
+
+@pytest.mark.parametrize("known", [maxent.KNOWN, 40, 0])
+def test_language_model_counts(spark, monkeypatch, known):
+    """The same however many words go to the tasks: all, some or none."""
+    monkeypatch.setattr(maxent, "KNOWN", known)
+    documents = awkward(spark, extra=["\U0001f600 The the. THE", *(words(random.Random(i), 30) + " of the a of" for i in range(30))]).repartition(3)
+    found = maxent.score_texts(documents).collect()
+    assert unigram(found) == brute_unigram([(r.doc_id, r.text) for r in documents.collect()])
+    assert all(r.score <= 0 and math.isfinite(r.score) for r in found)
+
+
+def test_language_model_of_nothing(spark):
+    assert maxent.score_texts(none(spark)).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    found = maxent.score_texts(spark.createDataFrame([(held, "no text to learn from")], "doc_id long, text string")).collect()
+    assert unigram(found) == brute_unigram([(held, "no text to learn from")]) and math.isfinite(found[0].score)
+
+
+def test_probabilities_add_up_to_one(spark):
+    """Over every known word, the end and one unseen word of each rare class, after any words."""
+    rng = random.Random(8)
+    texts = spark.createDataFrame([(words(rng, 400), i) for i in range(12)], "text string, share long")
+    vocabulary, _ = maxent.vocabulary_of(maxent.count_words(texts))
+    model = maxent.Model(vocabulary, maxent.train(texts, vocabulary))
+    assert np.abs(model.weights).max() > 0
+    every = [w.decode() for w in vocabulary.words.to_pylist()]
+    assert len(every) > maxent.TOP
+    unseen = {}
+    for i in range(5000):
+        word = f"zq{i}{'x' * (i % 3)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{'.' * (i % 2)}"
+        unseen.setdefault(maxent.rare_class(word.encode()), word)
+    assert len(unseen) == maxent.RARE
+    for before in ("", every[0], f"{every[3]} {every[-1]} {every[1]}"):
+        k = len(before.split())
+        found = maxent.tokens(pa.array([f"{before} {w}" for w in [*every, *unseen.values()]] + [before]), vocabulary)
+        logs = model.score(found)
+        at = np.flatnonzero(np.append(found.text[1:] != found.text[:-1], True))
+        chosen = np.append(at[:-1] - 1, at[-1])
+        assert len(chosen) == len(every) + maxent.RARE + 1 and found.code[chosen[-1]] == len(found.distinct)
+        assert abs((10.0 ** logs[chosen]).sum() - 1) < 1e-4, k
+
+
+def test_language_model_learns_what_follows(spark):
+    """Held-out texts of pairs of words are far likelier than single words say."""
+    rng = random.Random(9)
+    firsts, follow = [f"w{i}" for i in range(50)], {f"w{i}": f"v{(i * 7) % 50}" for i in range(50)}
+
+    def text():
+        return " ".join(f"{w} {follow[w]}" for w in rng.choices(firsts, k=150))
+
+    documents = spark.createDataFrame([(i, text()) for i in range(120)], "doc_id long, text string")
+    held = [r for r in maxent.score_texts(documents).collect() if r.held_out]
+    assert len(held) > 5 and all(r.score > 0.75 * r.base_score for r in held)
