@@ -3,7 +3,7 @@
 The base patterns decide what is surely personal data. Where two items stand side by side a greedy pattern runs
 them together and its check fails; obfuscated addresses and local phone numbers fit no pattern at all. For these a
 semi-Markov CRF scores whole candidate segments by features of the span (digits, groups, separators, checksum,
-ranges, words before) and of the pair of neighbouring types, and dynamic programming over segments of bounded
+ranges, words before) and of the pair of neighbouring types (a card must pass its check), and dynamic programming over segments of bounded
 length chooses boundaries and types jointly. It adds spans only outside base spans. The model is trained here, by
 the gradient of the log-likelihood, on generated sentences; its weights (some hundred numbers) go to the tasks.
 
@@ -131,9 +131,14 @@ def _score(model: Model, names: list[str]) -> float:
     return sum(model.get(name, 0.0) for name in names)
 
 
+def may_be(text: str, a: int, b: int, kind: str) -> bool:
+    """Whether the segment can be of the kind at all: a card has 13 to 19 digits that pass the Luhn check."""
+    return kind != "card" or 13 <= len(digits := digits_of(text[a:b])) <= 19 and luhn(digits)
+
+
 def lattice(text: str, segments: list[tuple[int, int]]) -> list[tuple[int, int, str, list[str]]]:
-    """Every segment as every type, by end."""
-    return sorted(((a, b, kind, features(text, a, b, kind)) for a, b in segments for kind in KINDS), key=lambda x: (x[1], x[0]))
+    """Every segment as every type that it can have, by end."""
+    return sorted(((a, b, kind, features(text, a, b, kind)) for a, b in segments for kind in KINDS if may_be(text, a, b, kind)), key=lambda x: (x[1], x[0]))
 
 
 def pair(before: str | None, kind: str) -> str:
@@ -229,8 +234,15 @@ def example(rng: random.Random) -> tuple[str, set[Span]]:
         at, dot = rng.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "."), ("@", ".")])
         return f"{word()}.{word()}{at}{word()}{dot}com"
 
+    def not_a_card() -> str:
+        digits = number(rng.randint(13, 19))
+        digits = digits[:-1] + next(c for c in rng.sample("0123456789", 10) if not luhn(digits[:-1] + c))
+        by_four = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return rng.choice([digits, " ".join(by_four), "-".join(by_four)])
+
     def none() -> str:
         return rng.choice([
+            not_a_card(), not_a_card(), " ".join([number(rng.randint(1, 3)), *(number(3) for _ in range(rng.randint(2, 4)))]), f"{number(rng.randint(1, 3))}.{number(rng.randint(2, 5))} {number(rng.randint(1, 3))}.{number(rng.randint(2, 5))}",
             number(rng.randint(7, 19)), ".".join(sorted((number(rng.randint(1, 3)), number(rng.randint(1, 2)), str(rng.randint(256, 5000)), number(1)), key=lambda _: rng.random())), f"20{number(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.19{number(2)}",
             f"version {number(1)}.{number(1)}", f"{number(3)} {number(3)} {number(3)}", f"{number(4)} {number(4)}", f"{word()}@{word()}", f"look at {word()}", f"token={number(9)}{word()}{number(7)}", f"20{number(2)} 20{number(2)}", f"{number(2)}/{number(2)}/20{number(2)}",
         ])

@@ -102,6 +102,34 @@ def test_span_model_held_out():
     assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.97
 
 
+def test_no_added_card_fails_its_check():
+    """Numbers of 13 to 19 digits that fail Luhn, in every shape, among ordinary words; cards that run into each other are found."""
+    rng, model = random.Random(11), pii.train()
+    shapes = [lambda d: d, lambda d: " ".join(d[i : i + 4] for i in range(0, len(d), 4)), lambda d: "-".join(d[i : i + 4] for i in range(0, len(d), 4)), lambda d: f"{d[:4]} {d[4:10]} {d[10:]}"]
+    for _ in range(600):
+        digits = "".join(rng.choice("0123456789") for _ in range(rng.randint(13, 19)))
+        text = f"{words(rng, 3)} {rng.choice(['', 'card ', 'tel ', 'no. '])}{rng.choice(shapes)(digits)}{rng.choice(['.', ',', ''])} {words(rng, 2)}"
+        base = pii.base_spans(text)
+        assert all(kind != "card" or pii.luhn(pii.digits_of(text[a:b])) for kind, a, b in pii.added_spans(model, text, base)), text
+
+
+def test_added_spans_in_written_sentences():
+    """Precision and recall on sentences written by hand, of other words and shapes than the training's."""
+    model = pii.train()
+    positive = [
+        ("Please ring (020) 555-0199 before noon", "(020) 555-0199"), ("fax: 415-555-2671, thanks", "415-555-2671"), ("write to anna.berg (at) posteo (dot) com today", "anna.berg (at) posteo (dot) com"),
+        ("contact max[at]firma.com for it", "max[at]firma.com"), ("paid with 4111111111111111 5500005555555559 yesterday", "4111111111111111"), ("paid with 4111111111111111 5500005555555559 yesterday", "5500005555555559"),
+        ("use +1 (212) 555-0147 10.0.0.7 as fallback", "+1 (212) 555-0147"), ("mobile 212-555-0163.", "212-555-0163"),
+    ]
+    negative = [
+        "invoice 4111111111111112 was paid", "the ISBN 978-3-16-148410-0 is old", "from 1914-1918 and 1939-1945", "pi is 3.14159265358979", "id 1234-5678-9012-3456 expired", "population 83 166 711 in 2020",
+        "released 2024.01.15 at 10:30:55", "row 0000000000000001 of 20", "grid 48.8566 2.3522 here", "section 4.2.1.7000", "he was at home dot matrix", "5 000 000 000 stars", "tracking 9400110200881234567890",
+    ]
+    hits = sum(any(text[a:b] == span for _, a, b in pii.base_spans(text) + pii.added_spans(model, text, pii.base_spans(text))) for text, span in positive)
+    wrong = [text for text in negative if pii.added_spans(model, text, pii.base_spans(text))]
+    assert hits >= 0.85 * len(positive) and len(wrong) <= 1, (hits, wrong)
+
+
 def test_decode_is_the_best_of_all_sets():
     """Dynamic programming against every set of segments that don't overlap."""
     from itertools import combinations
