@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import byte_bpe, collocations, exact_dedup, html_text, line_dedup, maxent, near_dedup, packing, pii, quality, resample, token_file, url_filter
 from .scratch import folder
@@ -77,9 +78,26 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+# What of the operators' results SQL can express, to compare it over whole tables.
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict"))
+    return op7_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", ruled.alias("verdict_by_rule"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES = [
     op1_token_files, op2_pii, op3_line_dedup, op4_minhash_near_dedup, op5_exact_dedup, op6_html_extraction, op7_url_filter,
     op8_byte_bpe, op9_quality_rules, op10_best_fit_packing, op11_language_model, op12_collocations, op13_importance_resampling,
+    pii_base_counts, url_rules, quality_counts,
 ]
 
 
@@ -94,6 +112,34 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "pii_base_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        found AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails,
+            list_transform(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: list_transform(string_split(x, '.'), lambda p: ltrim(p, '0'))) AS ips,
+            list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: string_split(regexp_replace(x, '[^0-9]', '', 'g'), '')) AS cards,
+            list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g'))) AS phones FROM d)
+        SELECT doc_id, len(emails) AS n_email,
+            len(list_filter(ips, lambda x: len(list_filter(x, lambda p: len(p) > 3 OR coalesce(try_cast(p AS INTEGER), 0) > 255)) = 0)) AS n_ip,
+            len(list_filter(cards, lambda x: len(x) BETWEEN 13 AND 19 AND list_sum(list_transform(list_reverse(x),
+                lambda c, i: CASE WHEN i % 2 = 1 THEN c::INTEGER ELSE 2 * c::INTEGER // 10 + 2 * c::INTEGER % 10 END)) % 10 = 0)) AS n_card,
+            len(list_filter(phones, lambda n: n BETWEEN 9 AND 15)) AS n_phone FROM found""",
+    "url_rules": r"""
+        WITH parted AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        hosted AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(substr(rest, len(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM parted),
+        rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) r(h, p, v)),
+        fitting AS (SELECT page_id, arg_max(h || p, len(h || p)) AS rule, arg_max(v, len(h || p)) AS verdict_by_rule FROM hosted
+            JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT page_id, host, path, rule, verdict_by_rule FROM hosted LEFT JOIN fitting USING (page_id)""",
+    "quality_counts": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        runs AS (SELECT row, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS run FROM d),
+        twice AS (SELECT row, i FROM runs QUALIFY count(*) OVER (PARTITION BY row, run) > 1),
+        repeated AS (SELECT row, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY row),
+        lines AS (SELECT row, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS x FROM d)
+        SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+            len(x) - len(list_distinct(x)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+        FROM d JOIN lines USING (row) LEFT JOIN repeated USING (row)""",
     "op12_collocations": r"""
         WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id, unnest(regexp_extract_all(translate(coalesce(text, ''),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
