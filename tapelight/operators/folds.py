@@ -1,161 +1,146 @@
-"""Indicators whose state depends on all earlier rows: ordered folds over one symbol's bars.
-
-Bars of a symbol go to one task, in time order; ticks are never folded here, they are aggregated to bars before.
-"""
+"""Indicators whose state depends on all earlier rows: ordered folds over one symbol's bars, with little state (see `carried`)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .carried import Average, Lag, LogReturns, Run, Step, carried
 
-def fold(bars: DataFrame, columns: str, compute: Callable[[pd.DataFrame], dict], key: str = "symbol", order: str = "bar_start_ms") -> DataFrame:
-    """Per key, in order: the order column and the columns that `compute` returns. NaN becomes null."""
-    kinds = dict(bars.dtypes)
+BAR = "bar_start_ms"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable").reset_index(drop=True)
-        out = pd.DataFrame({key: group[key], order: group[order], **compute(group)})
-        return out.astype(object).where(out.notna(), None)
 
-    return bars.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {columns}")
+def fold(bars: DataFrame, columns: str, begin: Callable[[], Step], key: str = "symbol", order: str = BAR) -> DataFrame:
+    """Per key, in order: the key, the order column and `columns`. NaN becomes null."""
+    return carried(bars, columns, begin, keep=[order], key=[key], order=[order])
 
 
-def ema(x: np.ndarray, n: int) -> np.ndarray:
+def ema(n: int) -> Average:
     """Exponential average with k = 2 / (n + 1), from the mean of the first n values; NaN before."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        out[n - 1] = x[:n].mean()
-        for i in range(n, len(x)):
-            out[i] = out[i - 1] + 2 / (n + 1) * (x[i] - out[i - 1])
-    return out
+    return Average(n, 2 / (n + 1))
 
 
-def wilder(x: np.ndarray, n: int) -> np.ndarray:
+def wilder(n: int) -> Average:
     """Wilder's average, from the mean of the first n values; NaN before."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        out[n - 1] = x[:n].mean()
-        for i in range(n, len(x)):
-            out[i] = (out[i - 1] * (n - 1) + x[i]) / n
-    return out
+    return Average(n, 1 / n)
 
 
 def with_ema(bars: DataFrame, n: int) -> DataFrame:
-    return fold(bars, "ema double", lambda g: {"ema": ema(g["close"].to_numpy(), n)})
+    def begin() -> Step:
+        average = ema(n)
+        return lambda run: {"ema": average(run["close"])}
+
+    return fold(bars, "ema double", begin)
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's RSI: null for the first n bars, 100 without losses."""
 
-    def compute(g: pd.DataFrame) -> dict:
-        d = np.diff(g["close"].to_numpy())
-        up, down = wilder(np.maximum(d, 0), n), wilder(np.maximum(-d, 0), n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(down == 0, 100.0, 100 - 100 / (1 + up / down))
-        value[np.isnan(up)] = np.nan
-        return {"rsi": np.append(np.nan, value)[: len(g)]}
+    def begin() -> Step:
+        lag, gains, losses = Lag(), wilder(n), wilder(n)
+
+        def step(run: Run) -> dict:
+            change = run["close"] - lag(run["close"])
+            up, down = gains(np.maximum(change, 0)), losses(np.maximum(-change, 0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                value = np.where(down == 0, 100.0, 100 - 100 / (1 + up / down))
+            return {"rsi": np.where(np.isnan(up), np.nan, value)}
+
+        return step
+
+    return fold(bars, "rsi double", begin)
+
 
-    return fold(bars, "rsi double", compute)
+def true_range(run: Run, before: np.ndarray) -> np.ndarray:
+    """The largest of high - low and the distances of both from the last close; high - low on the first bar."""
+    return np.fmax.reduce([run["high"] - run["low"], np.abs(run["high"] - before), np.abs(run["low"] - before)])
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's average true range; the first bar's range is high - low."""
 
-    def compute(g: pd.DataFrame) -> dict:
-        before = g["close"].shift().fillna(g["close"])
-        ranges = np.maximum.reduce([g["high"] - g["low"], (g["high"] - before).abs(), (g["low"] - before).abs()])
-        ranges[0] = g["high"].iloc[0] - g["low"].iloc[0]
-        return {"atr": wilder(ranges, n)}
+    def begin() -> Step:
+        lag, average = Lag(), wilder(n)
+        return lambda run: {"atr": average(true_range(run, lag(run["close"])))}
 
-    return fold(bars, "atr double", compute)
+    return fold(bars, "atr double", begin)
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Line (fast less slow average), signal (average of the line) and histogram."""
 
-    def compute(g: pd.DataFrame) -> dict:
-        x = g["close"].to_numpy()
-        line = ema(x, fast) - ema(x, slow)
-        there = ~np.isnan(line)
-        average = np.full(len(x), np.nan)
-        average[there] = ema(line[there], signal)
-        return {"macd": line, "signal": average, "histogram": line - average}
+    def begin() -> Step:
+        quick, long, average = ema(fast), ema(slow), ema(signal)
 
-    return fold(bars, "macd double, signal double, histogram double", compute)
+        def step(run: Run) -> dict:
+            line = quick(run["close"]) - long(run["close"])
+            smoothed = average(line)
+            return {"macd": line, "signal": smoothed, "histogram": line - smoothed}
+
+        return step
+
+    return fold(bars, "macd double, signal double, histogram double", begin)
 
 
 def garch(bars: DataFrame, omega: float, alpha: float, beta: float) -> DataFrame:
-    """GARCH(1,1) variance of each bar's log return, from the long-run variance omega / (1 - alpha - beta)."""
+    """GARCH(1,1) variance of each bar's log return, from the long-run variance omega / (1 - alpha - beta).
+
+    A return beside a close that isn't above 0 is none: the variance stays as it is.
+    """
     if alpha + beta >= 1:
         raise ValueError("alpha + beta must be under 1")
 
-    def compute(g: pd.DataFrame) -> dict:
-        returns = np.diff(np.log(g["close"].to_numpy()), prepend=np.nan)
-        out = np.full(len(g), omega / (1 - alpha - beta))
-        for i in range(2, len(g)):
-            out[i] = omega + alpha * returns[i - 1] ** 2 + beta * out[i - 1]
-        return {"variance": out}
+    def begin() -> Step:
+        returns, lag, variance = LogReturns(), Lag(), omega / (1 - alpha - beta)
+
+        def step(run: Run) -> dict:
+            nonlocal variance
+            out = []
+            for r in lag(returns(run["close"])).tolist():
+                if r == r:
+                    variance = omega + alpha * r * r + beta * variance
+                out.append(variance)
+            return {"variance": np.array(out)}
+
+        return step
 
-    return fold(bars, "variance double", compute)
+    return fold(bars, "variance double", begin)
 
 
 def ewma_volatility(bars: DataFrame, decay: float = 0.94) -> DataFrame:
-    """Exponentially weighted variance of log returns, from the first squared return."""
+    """Exponentially weighted variance of log returns, from the first squared return; null on bars without a return."""
 
-    def compute(g: pd.DataFrame) -> dict:
-        returns = np.diff(np.log(g["close"].to_numpy()), prepend=np.nan) ** 2
-        out = np.full(len(g), np.nan)
-        for i in range(1, len(g)):
-            out[i] = returns[i] if i == 1 else decay * out[i - 1] + (1 - decay) * returns[i]
-        return {"variance": out}
+    def begin() -> Step:
+        returns, average = LogReturns(), Average(1, 1 - decay)
+        return lambda run: {"variance": average(returns(run["close"]) ** 2)}
 
-    return fold(bars, "variance double", compute)
+    return fold(bars, "variance double", begin)
 
 
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
-    """Directional movement index with Wilder sums that start at 0."""
-
-    def compute(g: pd.DataFrame) -> dict:
-        high, low, close = (g[c].to_numpy() for c in ("high", "low", "close"))
-        sums, value = np.zeros(3), 0.0
-        out = np.full(len(g), np.nan)
-        for i in range(1, len(g)):
-            up, down = high[i] - high[i - 1], low[i - 1] - low[i]
-            moves = np.array([up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0, max(high[i] - low[i], abs(high[i] - close[i - 1]), abs(low[i] - close[i - 1]))])
-            sums = sums - sums / n + moves
-            total = sums[0] + sums[1]
-            value = (value * (n - 1) + (100 * abs(sums[0] - sums[1]) / total if total > 0 and sums[2] > 0 else 0.0)) / n
-            out[i] = value
-        return {"adx": out}
-
-    return fold(bars, "adx double", compute)
-
-
-def positions(trades: DataFrame, order: str = "trade_id") -> DataFrame:
-    """Position, average cost and realised P&L after each trade (side 1 or -1, quantity, price): opens, adds, reduces, turns."""
-
-    def compute(g: pd.DataFrame) -> dict:
-        held, cost, realised = 0.0, 0.0, 0.0
-        out = np.zeros((len(g), 3))
-        for i, (side, quantity, price) in enumerate(zip(g["side"], g["quantity"], g["price"], strict=True)):
-            signed = side * quantity
-            if held * signed >= 0:
-                total = held + signed
-                cost = (held * cost + signed * price) / total if total else 0.0
-                held = total
-            else:
-                closed = min(abs(held), abs(signed)) * np.sign(held)
-                realised += closed * (price - cost)
-                held += signed
-                if held * closed < 0:
-                    cost = price
-                elif held == 0:
-                    cost = 0.0
-            out[i] = held, cost, realised
-        return {"position": out[:, 0], "average_cost": out[:, 1], "realised": out[:, 2]}
-
-    return fold(trades, "position double, average_cost double, realised double", compute, order=order)
+    """Directional movement index with Wilder sums that start at 0; null on the first bar."""
+
+    def begin() -> Step:
+        lags, sums, value = [Lag(), Lag(), Lag()], np.zeros(3), 0.0
+
+        def step(run: Run) -> dict:
+            nonlocal sums, value
+            high, low, close = run["high"], run["low"], run["close"]
+            before_high, before_low, before_close = (lag(x) for lag, x in zip(lags, (high, low, close), strict=True))
+            ranges = true_range(run, before_close)
+            up, down = high - before_high, before_low - low
+            rises = np.where((up > down) & (up > 0), up, 0.0)
+            falls = np.where((down > up) & (down > 0), down, 0.0)
+            out = np.full(len(close), np.nan)
+            for i in np.flatnonzero(~np.isnan(up)):
+                sums = sums - sums / n + (rises[i], falls[i], ranges[i])
+                total = sums[0] + sums[1]
+                value = (value * (n - 1) + (100 * abs(sums[0] - sums[1]) / total if total > 0 and sums[2] > 0 else 0.0)) / n
+                out[i] = value
+            return {"adx": out}
+
+        return step
+
+    return fold(bars, "adx double", begin)

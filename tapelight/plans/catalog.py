@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import sessions
 from ..functions.frames import last_ms, last_rows, ordered, zscore
 from ..operators import bars as B
-from ..operators import book, filters, folds, joins, reports, rolling
+from ..operators import book, carried, filters, folds, joins, reports, rolling
 from .ticks import EXCHANGES, table, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -532,7 +532,7 @@ def volatility_ewma(spark, sf_dir):
 
 @query(POSITIONS)
 def positions_average_cost(spark, sf_dir):
-    return rounded(folds.positions(ticks(spark, sf_dir).where("quantity > 0")))
+    return rounded(carried.positions(ticks(spark, sf_dir).where("quantity > 0")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tapelight.functions import frames, sessions
-from tapelight.operators import bars, book, filters, folds, joins, reports, rolling
+from tapelight.operators import bars, book, carried, filters, folds, joins, reports, rolling
 from tapelight.sources import ticks as sources
 from tapelight.streaming import live
 
@@ -69,7 +69,7 @@ def test_folds(spark):
     assert folds.garch(b, 1e-4, 0.1, 0.8).orderBy("bar_start_ms").first().variance == pytest.approx(1e-3)
     assert folds.atr(b, 3).where("atr IS NULL").count() == 2
     trades = spark.createDataFrame([("A", 1, 1, 10.0, 100.0), ("A", 2, 1, 10.0, 110.0), ("A", 3, -1, 5.0, 120.0), ("A", 4, -1, 20.0, 90.0)], "symbol string, trade_id long, side int, quantity double, price double")
-    assert [(r.position, r.average_cost, r.realised) for r in folds.positions(trades).orderBy("trade_id").collect()] == [(10, 100, 0), (20, 105, 0), (15, 105, 75), (-5, 90, -150)]
+    assert [(r.position, r.average_cost, r.realised) for r in carried.positions(trades).orderBy("trade_id").collect()] == [(10, 100, 0), (20, 105, 0), (15, 105, 75), (-5, 90, -150)]
 
 
 def test_as_of_and_lee_ready(spark):
