@@ -2,24 +2,25 @@
 
 Phrases are mined level by level from vertical lists. Within a block of documents (a slice of an Arrow batch) every word
 has its posting list, the ascending places where it stands; places skip one between pieces, so neighbours in a piece are
-one apart. The list of a phrase of k words is merge-joined with the postings of the words one place on, and what meets
-falls apart into the lists of the phrases of k + 1 words. A list's length is the phrase's frequency in the block, and
+one apart. The list of a phrase of k words is joined with the postings, laid out by place, of the words one place on, and
+what meets falls apart into the lists of the phrases of k + 1 words. A list's length is the phrase's frequency in the block, and
 the sums over all blocks are exact. Phrases never cross documents, so lists never leave their block: only (phrase,
 length) is shuffled, summed before and after.
 
 Only phrases whose first and last k words are frequent themselves are extended. Which are, tasks learn from a bitmap of
 hashes, of a bounded size whatever the corpus: it lets all frequent phrases through, and what else passes by a
 collision falls to the exact threshold after the sum. Lists are made anew from the texts at every level instead of being
-stored: five scans, no positions on disk, and a lost task starts again from its texts.
+stored: four scans, no positions on disk, and a lost task starts again from its texts.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -34,6 +35,8 @@ BLOCK_BYTES = 8 << 20
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 27, 16
 #: An odd multiplier (fixed): a phrase's hash is a polynomial in it over the hashes of its words.
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The sizes that a scan counts, and the longest phrase. Those of four words and five are few and share one.
+PASSES, LONGEST = ((1,), (2,), (3,), (4, 5)), 5
 #: The final pick of each language sorts at most `most` rows of each of these parts.
 PARTS = 64
 
@@ -71,41 +74,48 @@ def frequent_in(bitmap: Bitmap, hashes: np.ndarray) -> np.ndarray:
     return (cells[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+class Terms:
+    """The distinct (language, word) of a block: their hashes, and at every place the term that stands there (-1: none)."""
+
+    def __init__(self, term: np.ndarray, places: np.ndarray, hashes: np.ndarray):
+        self.hashes = hashes
+        self.at = np.full(int(places[-1]) + 2 + LONGEST, -1, np.int32)
+        self.at[places] = term
+
+    def keep(self, kept: np.ndarray) -> None:
+        """Takes all other terms off their places."""
+        self.at[~np.append(kept, False)[self.at]] = -1
+
+
 class Lists:
-    """Occurrence lists: phrase i, of the terms words[i], stands at the places start[ends[i - 1]:ends[i]], ascending."""
+    """Occurrence lists: phrase i, of the terms words[i], has lengths[i] places; `start` has all lists, each ascending, one after the other."""
 
-    def __init__(self, phrase: np.ndarray, start: np.ndarray, words: np.ndarray, hashes: np.ndarray):
-        order = np.argsort(phrase, kind="stable")
-        self.phrase, self.start, self.words, self.hashes = phrase[order], start[order], words, hashes
+    def __init__(self, phrase: np.ndarray, start: np.ndarray, words: np.ndarray):
+        pairs = phrase.astype(np.int64) << 32 | start
+        pairs.sort()
+        self.phrase, self.start, self.words = pairs >> 32, pairs & 0xFFFFFFFF, words
         self.lengths = np.bincount(phrase, minlength=len(words))
 
+    def hashes(self, terms: Terms, last: int) -> np.ndarray:
+        """Of the last words of each phrase."""
+        return reduce(lambda h, k: h * STEP + terms.hashes[self.words[:, k]], range(self.words.shape[1] - last, self.words.shape[1]), np.zeros(len(self.words), np.uint64))
+
     def only(self, keep: np.ndarray) -> Lists:
         """The lists of some phrases, numbered anew."""
         there = keep[self.phrase]
-        return Lists((np.cumsum(keep) - 1)[self.phrase[there]], self.start[there], self.words[keep], self.hashes[keep])
-
-    def extended(self, terms: Lists, bitmap: Bitmap | None = None) -> Lists:
-        """The lists of all phrases one word longer; with a bitmap, of those whose words but the first are in it."""
-        k = self.words.shape[1]
-        order = np.argsort(terms.start)
-        place, word = terms.start[order], terms.phrase[order]
-        at = np.searchsorted(place, self.start + k)
-        met = np.flatnonzero(at < len(place))
-        met = met[place[at[met]] == self.start[met] + k]
-        keys, phrase = np.unique(self.phrase[met] * max(1, len(terms.words)) + word[at[met]], return_inverse=True)
-        before, last = np.divmod(keys, max(1, len(terms.words)))
-        words = np.concatenate([self.words[before], terms.words[last]], 1)
-        longer = Lists(phrase, self.start[met], words, self.hashes[before] * STEP + terms.hashes[last])
-        if bitmap is None:
-            return longer
-        power = np.uint64(pow(int(STEP), k, 1 << 64))
-        head = np.zeros(int(terms.words.max(initial=-1)) + 1, np.uint64)
-        head[terms.words[:, 0]] = terms.hashes
-        return longer.only(frequent_in(bitmap, longer.hashes - head[words[:, 0]] * power))
-
-
-def mined(batches: Iterator[pa.RecordBatch], size: int, bitmaps: list[Bitmap]) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, n of each block's phrases of a size; at size 1 also the number of words (phrase null)."""
+        return Lists((np.cumsum(keep) - 1)[self.phrase[there]], self.start[there], self.words[keep])
+
+    def extended(self, terms: Terms) -> Lists:
+        """The lists of all phrases one word longer: each place meets the posting one place behind the phrase's end."""
+        word = terms.at[self.start + self.words.shape[1]]
+        met = np.flatnonzero(word >= 0)
+        phrase, keys = pd.factorize(self.phrase[met] * len(terms.hashes) + word[met])
+        before, last = np.divmod(keys, len(terms.hashes))
+        return Lists(phrase, self.start[met], np.concatenate([self.words[before], last[:, None]], 1))
+
+
+def mined(batches: Iterator[pa.RecordBatch], sizes: Sequence[int], bitmaps: list[Bitmap]) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, n of each block's phrases of the sizes; at size 1 also the number of words (phrase null)."""
     for part in slices(batches, most=BLOCK_BYTES):
         data, at = utf8(part.column("text"))
         data = CAPITALS[data]
@@ -114,29 +124,36 @@ def mined(batches: Iterator[pa.RecordBatch], size: int, bitmaps: list[Bitmap]) -
             continue
         codes, distinct = dictionary(data, starts, ends)
         langs = part.column("lang").dictionary_encode()
-        term, phrase = np.unique(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text] * len(distinct) + codes, return_inverse=True)
-        lang, word = np.divmod(term, len(distinct))
         names = langs.dictionary.to_pylist()
+        phrase, term = pd.factorize(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text] * len(distinct) + codes)
+        lang, word = np.divmod(term, len(distinct))
         spelled = distinct.take(pa.array(word))
-        if size == 1:
-            found = Lists(phrase, places, np.arange(len(term))[:, None], np.zeros(len(term), np.uint64))
-        else:
-            hashes = term_hashes(spelled.to_pylist(), [names[i] for i in lang])
-            terms = Lists(phrase, places, np.arange(len(term))[:, None], hashes)
-            terms = terms.only(frequent_in(bitmaps[0], hashes))
-            found = terms
-            for k in range(2, size + 1):
-                if k > 2:
-                    found = found.only(frequent_in(bitmaps[k - 2], found.hashes))
-                found = found.extended(terms, bitmaps[k - 2] if k > 2 else None)
-        parts = [spelled.take(pa.array(found.words[:, j])) for j in range(size)]
-        shown = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, b" ")
-        of = langs.dictionary.take(pa.array(lang[found.words[:, 0]]))
-        columns = [of, shown.cast(pa.string()), pa.array(found.lengths, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
-        if size == 1:
-            each = np.bincount(lang, found.lengths, len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([langs.dictionary, pa.nulls(len(names), pa.string()), pa.array(each, pa.int64())], ["lang", "phrase", "n"])
+
+        def shown(words: np.ndarray, lengths: np.ndarray, spelled=spelled, langs=langs, lang=lang) -> pa.RecordBatch:
+            parts = [spelled.take(pa.array(words[:, j])) for j in range(words.shape[1])]
+            joined = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, b" ")
+            return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[words[:, 0]])), joined.cast(pa.string()), pa.array(lengths, pa.int64())], ["lang", "phrase", "n"])
+
+        single = np.arange(len(term))[:, None]
+        if 1 in sizes:
+            lengths = np.bincount(phrase, minlength=len(term))
+            yield shown(single, lengths)
+            each = np.bincount(lang, lengths, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([langs.dictionary, pa.nulls(len(names), pa.string()), pa.array(each)], ["lang", "phrase", "n"])
+        if not bitmaps:
+            continue
+        terms = Terms(phrase, places, term_hashes(spelled.to_pylist(), [names[i] for i in lang]))
+        kept = frequent_in(bitmaps[0], terms.hashes)
+        terms.keep(kept)
+        there = kept[phrase]
+        found = Lists(phrase[there], places[there], single)
+        for size in range(2, max(sizes) + 1):
+            found = found.extended(terms)
+            # All but the last words of a phrase have been looked up before; where its own size has no bitmap yet, the longest end that has one.
+            if known := min(size, len(bitmaps)) if size > 2 or len(bitmaps) > 1 else 0:
+                found = found.only(frequent_in(bitmaps[known - 1], found.hashes(terms, known)))
+            if size in sizes and len(found.words):
+                yield shown(found.words, found.lengths)
 
 
 def bitmap_of(phrases: DataFrame) -> Bitmap:
@@ -166,18 +183,20 @@ def frequent_phrases(documents: DataFrame, least: int, longest: int, text_column
     texts = documents.select(F.coalesce(F.col(f"`{lang_column}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
     levels: list[DataFrame] = []
     shared = []
-    for size in range(1, longest + 1):
+    for sizes in PASSES:
+        if not (now := [x for x in sizes if x <= longest]):
+            break
 
-        def run(batches: Iterator[pa.RecordBatch], size: int = size, before: tuple = tuple(shared)) -> Iterator[pa.RecordBatch]:
-            return mined(batches, size, [b.value for b in before])
+        def run(batches: Iterator[pa.RecordBatch], now: Sequence[int] = now, before: tuple = tuple(shared)) -> Iterator[pa.RecordBatch]:
+            return mined(batches, now, [b.value for b in before])
 
         sums = texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        found = table(sums.where(F.col("phrase").isNull() | (F.col("f") >= least)).withColumn("size", F.lit(size)))
-        if size == 1:
+        found = table(sums.where(F.col("phrase").isNull() | (F.col("f") >= least)).withColumn("size", F.size(F.split("phrase", " "))))
+        if not shared:
             words = found.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
             found = found.where("phrase IS NOT NULL")
         levels.append(found)
-        if size == longest or found.isEmpty():
+        if found.isEmpty() or max(now) >= longest:
             break
         shared.append(spark.sparkContext.broadcast(bitmap_of(found)))
     return reduce(DataFrame.unionByName, levels), words
