@@ -129,7 +129,19 @@ def test_line_groups(spark):
     cleaned = {r.doc_id: r.text for r in line_dedup.drop_lines(documents).collect()}
     assert cleaned[1] == f"Hello World 12\n{long}\n\n---" and "unlike" in cleaned[2] and "WORLD" not in cleaned[2] and cleaned[3] is None
     assert line_dedup.line_groups(none(spark)).count() == 0
-    assert line_dedup.line_groups(awkward(spark)).count() > 0
+    awkward_lines = [(r.doc_id, i, line) for r in awkward(spark).collect() if r.text is not None for i, line in enumerate(r.text.split("\n"))]
+    found = line_dedup.line_groups(awkward(spark)).collect()
+    assert sorted((repr(r.doc_id), r.line_no) for r in found) == sorted((repr(d), i) for d, i, _ in awkward_lines)
+    first = {}
+    for d, i, line in awkward_lines:
+        if d is not None and any(c.isalnum() for c in line):
+            first[line] = min(first.get(line, (d, i)), (d, i))
+    for r in found:
+        line = next(x for d, i, x in awkward_lines if (d, i) == (r.doc_id, r.line_no))
+        if line in first and r.doc_id is not None:
+            assert (r.group_doc_id, r.group_line_no) <= first[line] and r.kept == ((r.group_doc_id, r.group_line_no) == (r.doc_id, r.line_no))
+        else:
+            assert r.kept
 
 
 def test_line_groups_against_all_pairs(spark):
@@ -188,6 +200,29 @@ def test_similar_lines_meet(spark, least, most):
     assert sum(group[a] != group[b] for a, b in wanted) <= len(missed)
 
 
+def test_recall_of_edited_lines(spark):
+    """Edits of 5% and 9% of the characters, spread evenly (one in every second word, or in every one) or at random, in short and long words."""
+    rng = random.Random(31)
+    texts, classes = [], {}
+    for n, letters in ((5, 9), (7, 4), (10, 9), (12, 8), (20, 12), (30, 6), (60, 4), (60, 9)):
+        for share in (0.05, 0.09):
+            for evenly in (True, False):
+                for _ in range(20):
+                    line = list(" ".join("".join(rng.choice("abcdefghilmnoprstuv") for _ in range(letters)) for _ in range(n)))
+                    inside, edits = [i for i, c in enumerate(line) if c != " "], max(1, int(len(line) * share))
+                    places = {min(inside, key=lambda i, at=(j + 0.5) * len(line) / edits: abs(i - at)) for j in range(edits)} if evenly else rng.sample(inside, edits)
+                    texts.append("".join(line))
+                    for i in places:
+                        line[i] = "z"
+                    classes.setdefault((n, letters, share, evenly), []).append((len(texts) - 1, len(texts)))
+                    texts.append("".join(line))
+    group = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    recall = {k: sum(group[a] == group[b] for a, b in pairs) / len(pairs) for k, pairs in classes.items()}
+    assert min(recall.values()) >= 0.9 and sum(recall.values()) / len(recall) >= 0.98, recall
+    whole = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(spark.createDataFrame(list(enumerate(texts[:80])), "doc_id long, text string"), shared=0).collect()}
+    assert all(whole[i] == group[i] for i in whole if group[i] < 80)
+
+
 def test_line_groups_are_those_of_edit_similarity(spark):
     """Against every pair by edit distance, in plain Python: one-letter, many-letter and word edits, chains, copies, ties."""
     rng = random.Random(21)
