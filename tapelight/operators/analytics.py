@@ -123,10 +123,9 @@ def triangles(prices: DataFrame, fee: float) -> DataFrame:
     return first.join(second, "b").join(third, ["c", "a"]).where("a < b AND a < c AND b != c").select("a", "b", "c", left.alias("left"), (left > 1).alias("is_gain"))
 
 
-def portfolio_variance(bars: DataFrame, weights: dict[str, float], z: float) -> DataFrame:
-    """One row: variance of the weighted returns over bars of both of a pair, and the parametric value at risk."""
-    weight = F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("symbol"))
-    own = returns(bars).where("ret IS NOT NULL").select(*BAR, "symbol", "ret", weight.alias("w"))
+def portfolio_variance(bars: DataFrame, weights: DataFrame, z: float) -> DataFrame:
+    """One row: variance of the returns weighted by weights (symbol, weight), over bars of both of a pair, and the parametric value at risk."""
+    own = returns(bars).where("ret IS NOT NULL").join(weights, "symbol").select(*BAR, "symbol", "ret", F.col("weight").alias("w"))
     other = own.select(*BAR, F.col("symbol").alias("other"), F.col("ret").alias("ret2"), F.col("w").alias("w2"))
     pairs = own.join(other, BAR[0]).groupBy("symbol", "other").agg((F.max("w") * F.max("w2") * F.covar_pop("ret", "ret2")).alias("part"))
     return pairs.agg(F.sum("part").alias("variance"), (z * F.sqrt(F.greatest(F.sum("part"), F.lit(0.0)))).alias("value_at_risk"))

@@ -114,8 +114,7 @@ def arbitrage_triangular(spark, sf_dir):
 SELECT round(sum(part), 6) AS variance, round(1.645 * sqrt(greatest(sum(part), 0)), 6) AS value_at_risk FROM p""")
 def portfolio_value_at_risk(spark, sf_dir):
     bars = hourly(spark, sf_dir)
-    names = ("click", "view", "purchase", "signup", "error")
-    return rounded(A.portfolio_variance(bars, {r.symbol: 0.2 for r in bars.select("symbol").distinct().collect()} or dict.fromkeys(names, 0.2), 1.645))
+    return rounded(A.portfolio_variance(bars, bars.select("symbol").distinct().withColumn("weight", F.lit(0.2)), 1.645))
 
 
 @query("""{T}, f AS (SELECT symbol, avg((price - 100) / 10000) AS mean, arg_max((price - 100) / 10000, row(ts_ms, trade_id)) AS last, count(*) AS n FROM t GROUP BY 1)
