@@ -81,7 +81,7 @@ def filled(orders: DataFrame, offers: DataFrame, market: str, side: str = "buy")
 
     What an offer (offer_id, price, size) holds beyond an order is left for the next. Both are laid out on one line of
     running quantities and meet where their intervals overlap, so nothing is carried from order to order. Orders beyond all
-    offers stay open; equal prices go by offer_id. Rows without a quantity or size above 0 are left out.
+    offers stay open; equal prices go by offer_id. Rows without a market, or a quantity or size above 0, are left out.
     """
     best = F.asc("price") if side == "buy" else F.desc("price")
     wanted = orders.where("quantity > 0").withColumn("until", F.sum("quantity").over(Window.partitionBy(market).orderBy("order_id").rowsBetween(Window.unboundedPreceding, 0)))
@@ -95,4 +95,5 @@ def filled(orders: DataFrame, offers: DataFrame, market: str, side: str = "buy")
     merged = both.unionByName(other)
     open_now = merged.withColumns({"order": F.last("order", True).over(line), "offer": F.last("offer", True).over(line)}).select(market, "at", "order", "offer").distinct()
     until = F.least(F.col("order.until"), F.col("offer.offered"))
-    return open_now.where(until > F.col("at")).select(F.col("order.order_id").alias("order_id"), F.col("offer.offer_id").alias("offer_id"), (until - F.col("at")).alias("filled"), F.col("offer.price").alias("price"))
+    met = open_now.where(F.col(market).isNotNull() & F.col("order").isNotNull() & F.col("offer").isNotNull() & (until > F.col("at")))
+    return met.select(F.col("order.order_id").alias("order_id"), F.col("offer.offer_id").alias("offer_id"), (until - F.col("at")).alias("filled"), F.col("offer.price").alias("price"))
