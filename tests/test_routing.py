@@ -102,5 +102,5 @@ def test_filling_against_a_plain_loop(spark, side):
                     left.pop(0)
     frames = spark.createDataFrame(orders, ORDERS), spark.createDataFrame(offers, "offer_id long, market string, price double, size double")
     found = [tuple(r) for r in routing.filled(*frames, "market", side).select("order_id", "offer_id", "filled", "price").collect()]
-    assert sorted(found) == sorted(want) and len(want) > 30
+    assert sorted(found) == sorted(want) and len(want) > 15
     assert routing.filled(frames[0], frames[1].where("false"), "market").count() == 0 and routing.filled(frames[0].where("false"), frames[1], "market").count() == 0
