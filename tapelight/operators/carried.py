@@ -14,7 +14,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -150,39 +150,41 @@ class LogReturns:
             return np.where((x > 0) & (before > 0), np.log(x / before), np.nan)
 
 
+class Position:
+    """What is held, at what average cost, and what has been realised."""
+
+    def __init__(self, held: float = 0.0, cost: float = 0.0, realised: float = 0.0):
+        self.held, self.cost, self.realised = held, cost, realised
+
+    def __call__(self, run: Run) -> dict:
+        out = np.zeros((len(run["price"]), 3))
+        for i, (signed, price) in enumerate(zip((run["side"] * run["quantity"]).tolist(), run["price"].tolist(), strict=True)):
+            if signed == signed and price == price:
+                self.trade(signed, price)
+            out[i] = self.held, self.cost, self.realised
+        return {"position": out[:, 0], "average_cost": out[:, 1], "realised": out[:, 2]}
+
+    def trade(self, signed: float, price: float) -> None:
+        if self.held * signed >= 0:
+            total = self.held + signed
+            self.cost = (self.held * self.cost + signed * price) / total if total else 0.0
+            self.held = total
+            return
+        closed = min(abs(self.held), abs(signed)) * (1 if self.held > 0 else -1)
+        self.realised += closed * (price - self.cost)
+        self.held += signed
+        if self.held * closed < 0:
+            self.cost = price
+        elif self.held == 0:
+            self.cost = 0.0
+
+
 def positions(trades: DataFrame, order: str = "trade_id") -> DataFrame:
     """Position, average cost and realised P&L after each trade (side 1 or -1, quantity, price): opens, adds, reduces, turns.
 
     A trade with a null side, quantity or price changes nothing and shows the state as it is.
     """
-
-    def begin() -> Step:
-        held, cost, realised = 0.0, 0.0, 0.0
-
-        def step(run: Run) -> dict:
-            nonlocal held, cost, realised
-            out = np.zeros((len(run["price"]), 3))
-            signed_all = run["side"] * run["quantity"]
-            for i, (signed, price) in enumerate(zip(signed_all.tolist(), run["price"].tolist(), strict=True)):
-                if signed == signed and price == price:
-                    if held * signed >= 0:
-                        total = held + signed
-                        cost = (held * cost + signed * price) / total if total else 0.0
-                        held = total
-                    else:
-                        closed = min(abs(held), abs(signed)) * (1 if held > 0 else -1)
-                        realised += closed * (price - cost)
-                        held += signed
-                        if held * closed < 0:
-                            cost = price
-                        elif held == 0:
-                            cost = 0.0
-                out[i] = held, cost, realised
-            return {"position": out[:, 0], "average_cost": out[:, 1], "realised": out[:, 2]}
-
-        return step
-
-    return carried(trades, "position double, average_cost double, realised double", begin, keep=[order], order=[order])
+    return carried(trades, "position double, average_cost double, realised double", Position, keep=[order], order=[order])
 
 
 # Alerts -------------------------------------------------------------------------------------------------------------
@@ -267,42 +269,52 @@ def averages_cross(fast: int, slow: int) -> Callable[[Recent], np.ndarray]:
     return fires
 
 
+class Watch:
+    """A symbol's last ticks and how long each rule is quiet."""
+
+    def __init__(self, rules: Sequence[Rule], most: int, held: Sequence[np.ndarray] | None = None, quiet_until: dict[str, int] | None = None):
+        self.rules, self.most = rules, most
+        self.held = list(held) if held is not None else [np.zeros(0), np.zeros(0), np.zeros(0, np.int64)]
+        self.quiet_until = dict(quiet_until or {})
+
+    def __call__(self, run: Run) -> dict:
+        """The names of the rules that fire at each tick."""
+        first = len(self.held[0])
+        seen = [np.concatenate([h, run[c]]) for h, c in zip(self.held, ("price", "quantity", "ts_ms"), strict=True)]
+        recent = Recent(*seen, first, self.most)
+        fired: list[list[str]] = [[] for _ in recent.rows]
+        symbol = run["symbol"][0]
+        for rule in self.rules:
+            if rule.symbol is None or rule.symbol == symbol:
+                until = self.quiet_until.get(rule.name)
+                for i in np.flatnonzero(rule.fires(recent)).tolist():
+                    now = int(run["ts_ms"][i])
+                    if until is None or now >= until:
+                        fired[i].append(rule.name)
+                        until = now + rule.cooldown_ms
+                if until is not None:
+                    self.quiet_until[rule.name] = until
+        self.held = [x[max(0, len(x) - self.most + 1) :] for x in seen]
+        out = np.empty(len(fired), object)
+        out[:] = fired
+        return {"fired": out}
+
+
+def whole_ticks(ticks: DataFrame) -> DataFrame:
+    """What alerts look at, without ticks that have no price, quantity or time."""
+    number = [F.col(c).cast("double").alias(c) for c in ("price", "quantity")]
+    return ticks.select("symbol", "trade_id", "ts_ms", *number).dropna(subset=["price", "quantity", "ts_ms"])
+
+
+def severity(rules: Sequence[Rule]) -> Column:
+    return F.coalesce(*(F.when(F.col("rule") == r.name, F.lit(r.severity)) for r in rules), F.lit(None).cast("string"))
+
+
 def alerts(ticks: DataFrame, rules: Sequence[Rule], most: int = 1000) -> DataFrame:
     """symbol, trade_id, ts_ms, rule, severity: one row for each rule that fires at a tick.
 
     Conditions see the tick and at most `most` - 1 before it. A rule is quiet until `cooldown_ms` after it fired for the
     symbol. Ticks without price, quantity or time are left out; no ticks, or no rules, give no rows.
     """
-
-    def begin() -> Step:
-        held = [np.zeros(0), np.zeros(0), np.zeros(0, np.int64)]
-        quiet_until: dict[str, int] = {}
-
-        def step(run: Run) -> dict:
-            nonlocal held
-            first = len(held[0])
-            seen = [np.concatenate([h, run[c]]) for h, c in zip(held, ("price", "quantity", "ts_ms"), strict=True)]
-            recent = Recent(*seen, first, most)
-            fired: list[list[str]] = [[] for _ in recent.rows]
-            symbol = run["symbol"][0]
-            for rule in rules:
-                if rule.symbol is None or rule.symbol == symbol:
-                    until = quiet_until.get(rule.name)
-                    for i in np.flatnonzero(rule.fires(recent)).tolist():
-                        now = int(run["ts_ms"][i])
-                        if until is None or now >= until:
-                            fired[i].append(rule.name)
-                            until = now + rule.cooldown_ms
-                    if until is not None:
-                        quiet_until[rule.name] = until
-            held = [x[max(0, len(x) - most + 1) :] for x in seen]
-            out = np.empty(len(fired), object)
-            out[:] = fired
-            return {"fired": out}
-
-        return step
-
-    whole = ticks.select("symbol", "trade_id", "ts_ms", F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity")).dropna(subset=["price", "quantity", "ts_ms"])
-    out = carried(whole, "fired array<string>", begin, keep=["trade_id", "ts_ms"]).select("symbol", "trade_id", "ts_ms", F.explode("fired").alias("rule"))
-    severity = F.coalesce(*(F.when(F.col("rule") == r.name, F.lit(r.severity)) for r in rules), F.lit(None).cast("string"))
-    return out.withColumn("severity", severity)
+    fired = carried(whole_ticks(ticks), "fired array<string>", lambda: Watch(rules, most), keep=["trade_id", "ts_ms"])
+    return fired.select("symbol", "trade_id", "ts_ms", F.explode("fired").alias("rule")).withColumn("severity", severity(rules))
