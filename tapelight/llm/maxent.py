@@ -35,14 +35,14 @@ from .scratch import table
 
 TOP, WIDE, RARE = 1024, 32, 32
 CLASSES = TOP // WIDE + RARE
-#: Hashed rows of the weights of classes and of words, as powers of two.
+#: Hashed rows of the weights of classes and of words, as a power of two; 16 at most.
 ROW_BITS = 13
 ROWS = 1 << ROW_BITS
 #: The most words whose counts are sent to all tasks.
 KNOWN = 1 << 18
 #: Of the remainders of an id's hash divided by their number, how many belong to each round.
 ROUNDS = (1, 2, 5)
-BATCH, RATE = 1024, 1.0
+BATCH, RATE, FEW = 2048, 1.0, 8
 #: A weight moved by 1 over 65,536 tokens is sent as this number.
 FIXED, SHARE = 1 << 14, 1 << 16
 NEVER = np.float32(-1e9)
@@ -56,10 +56,13 @@ def remainder(id_column: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).cast("binary")) % by
 
 
-def rare_class(word: bytes) -> int:
-    """By the last two bytes, punctuation aside, and whether there is some."""
-    bare = word.rstrip(b".,;:!?\"')")
-    return zlib.crc32(bare[-2:]) % (RARE // 2) * 2 + (len(bare) < len(word))
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """Of words (binary): by the last two bytes, punctuation aside, and whether there is some."""
+    bare = pc.utf8_rtrim(words.cast(pa.string()), characters=".,;:!?\"')").cast(pa.binary())
+    sizes = pc.binary_length(bare).to_numpy(zero_copy_only=False)
+    endings = pc.binary_slice(bare, -2, 1 << 30).dictionary_encode()
+    of = np.array([zlib.crc32(e) % (RARE // 2) * 2 for e in endings.dictionary.to_pylist()] + [0])
+    return of[endings.indices.to_numpy(zero_copy_only=False)] + (sizes < pc.binary_length(words).to_numpy(zero_copy_only=False))
 
 
 @dataclass
@@ -115,8 +118,7 @@ def tokens(texts: pa.Array, vocabulary: Vocabulary) -> Tokens:
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in spelled), np.uint64, len(spelled))
     known = pc.index_in(distinct.cast(vocabulary.words.type), value_set=vocabulary.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     outcome = np.append(np.where(known >= 0, vocabulary.outcome[known] if len(vocabulary.outcome) else -1, -1), TOP - 1)
-    rare = np.fromiter((0 if o >= 0 else rare_class(w) for w, o in zip(spelled, outcome, strict=False)), np.int64, len(spelled))
-    classes = np.where(outcome >= 0, outcome // WIDE, TOP // WIDE + np.append(rare, 0))
+    classes = np.where(outcome >= 0, outcome // WIDE, TOP // WIDE + np.append(rare_classes(distinct), 0))
 
     counts = np.diff(first) + 1
     text = np.repeat(np.arange(len(counts)), counts)
@@ -146,6 +148,7 @@ class Model:
         self.vocabulary = vocabulary
         self.of_class, self.of_word = weights[: ROWS * CLASSES].reshape(ROWS, CLASSES), weights[ROWS * CLASSES :].reshape(ROWS, WIDE)
         self.weights = weights
+        self.logged = np.log(vocabulary.counts + 1.0)
 
     SIZE = ROWS * (CLASSES + WIDE)
 
@@ -156,28 +159,42 @@ class Model:
         return (features >> np.uint64(64 - ROW_BITS)).astype(np.int64)
 
     @staticmethod
-    def logs(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """Logarithms of the softmax over the outcomes, for each token."""
-        out = weights[rows[:, 0]]
+    def sums(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """What the softmax is over, less the largest, for each token and outcome."""
+        out = np.take(weights, rows[:, 0], axis=0)
         for k in range(1, rows.shape[1]):
-            out += weights[rows[:, k]]
+            out += np.take(weights, rows[:, k], axis=0)
         out += bias
         out -= out.max(1, keepdims=True)
-        out -= np.log(np.exp(out).sum(1, keepdims=True))
         return out
 
+    @classmethod
+    def logs(cls, weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """The logarithm of the probability of each token's outcome."""
+        sums = cls.sums(weights, rows, bias)
+        own = sums[np.arange(len(sums)), outcome].astype(float)
+        return own - np.log(np.exp(sums, out=sums).sum(1))
+
+    @classmethod
+    def errors(cls, weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """The probabilities of all outcomes, less 1 for the one that came: the gradient of each token's rows."""
+        sums = cls.sums(weights, rows, bias)
+        np.exp(sums, out=sums)
+        sums /= sums.sum(1, keepdims=True)
+        sums[np.arange(len(sums)), outcome] -= 1
+        return sums
+
     def score(self, found: Tokens) -> np.ndarray:
         """log10 of each token's probability, without the share of a rare word in its class that only a join knows."""
         v = self.vocabulary
         out = np.zeros(len(found.text))
-        share = np.append(np.log(v.counts + 1.0), [0.0, 0.0])  # of tokens -2 (the end) and -1 (unknown so far)
+        share = np.append(self.logged, [0.0, 0.0])  # of tokens -2 (the end) and -1 (unknown so far)
         for a in range(0, len(out), BATCH):
             part = slice(a, a + BATCH)
             classes, outcome = found.classes[part], found.outcome[part]
-            own = self.logs(self.of_class, self.rows(found.features[part]), v.class_bias)[np.arange(len(classes)), classes].astype(float)
+            own = self.logs(self.of_class, self.rows(found.features[part]), v.class_bias, classes)
             top = np.flatnonzero(outcome >= 0)
-            within = self.logs(self.of_word, self.rows(found.features[part][top], classes[top]), v.word_bias[classes[top]])
-            own[top] += within[np.arange(len(top)), outcome[top] % WIDE]
+            own[top] += self.logs(self.of_word, self.rows(found.features[part][top], classes[top]), v.word_bias[classes[top]], outcome[top] % WIDE)
             rare = np.flatnonzero(outcome < 0)
             own[rare] += share[found.known[part][rare]] - v.log_rare[classes[rare] - TOP // WIDE]
             out[part] = own
@@ -190,25 +207,35 @@ class Model:
             part = slice(a, a + BATCH)
             classes, outcome, features = found.classes[part], found.outcome[part], found.features[part]
             rows = self.rows(features)
-            error = np.exp(self.logs(self.of_class, rows, v.class_bias))
-            error[np.arange(len(classes)), classes] -= 1
-            self.step(self.of_class, squares[0], rows, error, rate)
+            self.step(self.of_class, squares[0], rows, self.errors(self.of_class, rows, v.class_bias, classes), rate)
             top = np.flatnonzero(outcome >= 0)
             if len(top):
                 rows = self.rows(features[top], classes[top])
-                error = np.exp(self.logs(self.of_word, rows, v.word_bias[classes[top]]))
-                error[np.arange(len(top)), outcome[top] % WIDE] -= 1
-                self.step(self.of_word, squares[1], rows, error, rate)
+                self.step(self.of_word, squares[1], rows, self.errors(self.of_word, rows, v.word_bias[classes[top]], outcome[top] % WIDE), rate)
 
     @staticmethod
     def step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, error: np.ndarray, rate: float) -> None:
-        order = np.argsort(rows, axis=None, kind="stable")
-        flat = rows.ravel()[order]
+        """Adds up the errors of each row's tokens and moves the row by them.
+
+        Rows stand by how many tokens they have, and every turn takes one more token of each that has so many: few turns
+        of long additions, and the few rows with more tokens than FEW others do one by one.
+        """
+        order = np.argsort(rows.astype(np.uint16), axis=None, kind="stable")  # numbers of 16 bits are sorted by radix
+        flat, token = rows.ravel()[order], order // rows.shape[1]
         starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        gradient = np.add.reduceat(error[order // rows.shape[1]], starts, axis=0)
+        counts = np.diff(np.append(starts, len(flat)))
+        by = np.argsort(-counts, kind="stable")
+        starts, counts = starts[by], counts[by]
+        gradient, left, turn = np.take(error, token[starts], axis=0), len(starts), 1
+        while (left := int(np.searchsorted(-counts[:left], -turn))) >= FEW:
+            gradient[:left] += np.take(error, token[starts[:left] + turn], axis=0)
+            turn += 1
+        for i in range(left):
+            gradient[i] += np.take(error, token[starts[i] + turn : starts[i] + counts[i]], axis=0).sum(0)
         at = flat[starts]
         squares[at] += np.einsum("ij,ij->i", gradient, gradient)
-        weights[at] -= rate * gradient / np.sqrt(squares[at])[:, None]
+        gradient *= (rate / np.sqrt(squares[at]))[:, None]
+        weights[at] -= gradient
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -240,7 +267,7 @@ def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = np.fromiter((rare_class(w.encode()) for w in batch.column("word").to_pylist()), np.int64, batch.num_rows)
+            of = rare_classes(batch.column("word").cast(pa.binary()))
             sums = np.zeros((RARE, 2), np.int64)
             np.add.at(sums, of, np.stack([batch.column("c").to_numpy(), np.ones(batch.num_rows, np.int64)], 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["class", "c", "words"])
@@ -249,8 +276,7 @@ def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     for row in others.mapInArrow(run, "class long, c long, words long").groupBy("class").agg(F.sum("c").alias("c"), F.sum("words").alias("words")).collect():
         sums[row["class"]] += row.c, row.words
     spelled, c = known.column("word").cast(pa.binary()).combine_chunks(), known.column("c").to_numpy()
-    for word, n in zip(spelled.to_pylist()[TOP - 1 :], c[TOP - 1 :].tolist(), strict=True):
-        sums[rare_class(word)] += n, 1
+    np.add.at(sums, rare_classes(spelled[TOP - 1 :]), np.stack([c[TOP - 1 :], np.ones(len(c[TOP - 1 :]))], 1))
     totals = [sum(row[x] or 0 for row in by_bin) for x in ("ends", "tokens", "distinct")]
     return Vocabulary(spelled, c, *totals, np.log(sums.sum(1) + 1), sums[:, 0]), others
 
@@ -314,10 +340,11 @@ def score_texts(documents: DataFrame, folds: int = 7, held: int = 2, id_column:
         model = Model(v, weights.value)
         out_of = np.log10(v.tokens + v.distinct + 1)
         held_counts = np.append(v.counts, [v.ends, 0])  # known is -2 for the end and -1 for words whose count isn't known here
+        logged = np.log10(held_counts + 1.0) - out_of
         for part in slices(batches):
             found = tokens(part.column("text"), v)
             n = part.num_rows
-            base = np.log10(held_counts[found.known] + 1.0) - out_of
+            base = logged[found.known]
             sure = held_counts[found.known] > 0
             rare = found.known == -1
             keys, counts = np.unique(found.text[rare] * (len(found.distinct) + 1) + found.code[rare], return_counts=True)

@@ -140,7 +140,7 @@ def test_probabilities_add_up_to_one(spark):
     unseen = {}
     for i in range(5000):
         word = f"zq{i}{'x' * (i % 3)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{'.' * (i % 2)}"
-        unseen.setdefault(maxent.rare_class(word.encode()), word)
+        unseen.setdefault(int(maxent.rare_classes(pa.array([word.encode()]))[0]), word)
     assert len(unseen) == maxent.RARE
     for before in ("", every[0], f"{every[3]} {every[-1]} {every[1]}"):
         k = len(before.split())
