@@ -58,7 +58,10 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, id_c
             yield rows()
 
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = documents.selectExpr(f"`{id_column}` AS doc_id", f"coalesce(`{text_column}`, '') AS text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = documents.selectExpr(f"`{id_column}` AS doc_id", f"coalesce(`{text_column}`, '') AS text")
+    # Rows of one id, or of none, may be many: their texts' hashes deal them over files.
+    ties = F.xxhash64("text")
+    ordered = ordered.repartitionByRange(n, "doc_id", ties).sortWithinPartitions("doc_id", ties)
     ordered.mapInArrow(run, f"part int, row int, doc_ids array<{kind}>, n_tokens array<long>, blocks binary").write.parquet(path)
 
 
