@@ -47,7 +47,22 @@ def correlation_shifts(spark, sf_dir):
     return rounded(networks.shifts(three_days(spark, sf_dir), 0.05, 0.03, 5))
 
 
-@query()
+SHOCKS = CORRELATED + """, l AS (SELECT *, lead(date) OVER (PARTITION BY a, b ORDER BY date) AS until FROM c),
+r AS (SELECT symbol, bar_start_ms, abs(ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_start_ms))) AS size FROM b),
+k AS (SELECT * FROM (SELECT * FROM r WHERE size >= 0.8) QUALIFY count(*) OVER (PARTITION BY bar_start_ms) > 1),
+e AS (SELECT p.bar_start_ms, l.a, l.b, abs(correlation) AS c FROM k p JOIN k q ON p.bar_start_ms = q.bar_start_ms AND p.symbol < q.symbol JOIN l ON l.a = p.symbol AND l.b = q.symbol
+  WHERE l.date <= p.bar_start_ms // 86400000 * 86400000 AND (until IS NULL OR until > p.bar_start_ms // 86400000 * 86400000) AND abs(correlation) >= 0.1),
+g AS (SELECT bar_start_ms, list(symbol ORDER BY symbol) AS free FROM k GROUP BY 1),
+d AS (SELECT bar_start_ms, list(a || '/' || b) AS pairs FROM e GROUP BY 1),
+f AS (WITH RECURSIVE f AS (SELECT g.bar_start_ms, free, CAST([] AS VARCHAR[]) AS members, coalesce(pairs, []) AS pairs FROM g LEFT JOIN d USING (bar_start_ms)
+  UNION ALL SELECT bar_start_ms, list_filter(free, lambda x: NOT list_contains(m, x)), m, pairs
+  FROM (SELECT *, list_prepend(free[1], list_filter(free[2:], lambda x: list_contains(pairs, free[1] || '/' || x))) AS m FROM f WHERE len(free) > 0)) SELECT * FROM f),
+i AS (SELECT f.bar_start_ms, members, avg(c) AS inside FROM f JOIN e ON e.bar_start_ms = f.bar_start_ms AND list_contains(members, e.a) AND list_contains(members, e.b) GROUP BY 1, 2)
+SELECT i.bar_start_ms, arg_max(symbol, size) AS trigger, array_to_string(members, ',') AS affected, round(avg(size), 6) AS mean_shock, round(avg(size) * any_value(inside), 6) AS score
+FROM i JOIN k ON k.bar_start_ms = i.bar_start_ms AND list_contains(members, symbol) GROUP BY i.bar_start_ms, members"""
+
+
+@query(SHOCKS)
 def shocks_spreading(spark, sf_dir):
     out = networks.contagion(A.returns(hourly(spark, sf_dir)), three_days(spark, sf_dir), 0.8, 0.1, DAY)
     return rounded(out.withColumn("affected", F.array_join("affected", ",")))
