@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
-from ..operators import carried, events, portfolio, regimes, volatility
+from ..operators import carried, events, pairs, portfolio, regimes, volatility
 from .catalog import HOUR, hourly, query, recursion, rounded
 from .ticks import ticks
 
@@ -96,6 +96,26 @@ def spread_kalman(spark, sf_dir):
     return rounded(regimes.spread_filter(x.join(y, "bar_start_ms").where("a < b"), beta=0.9, threshold=1.5))
 
 
+PAIRS = """{B}, j AS (SELECT x.symbol AS a, y.symbol AS b, x.symbol || '/' || y.symbol AS symbol, x.bar_start_ms, x.close AS x, y.close AS y FROM b x JOIN b y ON x.bar_start_ms = y.bar_start_ms AND x.symbol < y.symbol),
+s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_start_ms) AS i, avg(x) OVER w AS mx, avg(y) OVER w AS my, var_pop(x) OVER w AS xx, var_pop(y) OVER w AS yy, covar_pop(x, y) OVER w AS xy FROM j WINDOW w AS (PARTITION BY symbol ORDER BY bar_start_ms ROWS 59 PRECEDING)),
+n AS (SELECT a, b, symbol, bar_start_ms, i, CASE WHEN i >= 60 THEN xy / yy END AS beta, CASE WHEN i >= 60 THEN x - mx - xy / yy * (y - my) END AS spread, CASE WHEN i >= 60 THEN (x - mx - xy / yy * (y - my)) / sqrt(greatest(xx - xy / yy * xy, 0) * 60 / 59) END AS z FROM s),
+p AS """ + recursion(
+    "SELECT symbol, i, CASE WHEN z < -1.5 THEN 1 WHEN z > 1.5 THEN -1 ELSE 0 END AS held FROM n WHERE i = 1",
+    "CASE WHEN z IS NULL THEN f.held WHEN f.held = 0 THEN CASE WHEN z < -1.5 THEN 1 WHEN z > 1.5 THEN -1 ELSE 0 END WHEN f.held = 1 AND z > -0.5 THEN 0 WHEN f.held = -1 AND z < 0.5 THEN 0 ELSE f.held END",
+) + """, h AS (SELECT n.*, held, coalesce(lag(held) OVER (PARTITION BY symbol ORDER BY i), 0) AS before FROM n JOIN p USING (symbol, i))
+SELECT a, b, bar_start_ms, round(beta, 4) + 0.0 AS beta, round(spread, 4) + 0.0 AS spread, round(z, 4) + 0.0 AS zscore, CAST(held AS BIGINT) AS position,
+  CASE WHEN held = before THEN 'hold' WHEN held = 1 THEN 'enter_long' WHEN held = -1 THEN 'enter_short' WHEN before = 1 THEN 'exit_long' ELSE 'exit_short' END AS signal,
+  CASE WHEN z < -1.5 THEN 'long' WHEN z > 1.5 THEN 'short' WHEN abs(z) < 0.5 THEN 'exit' WHEN z IS NOT NULL THEN 'neutral' END AS state FROM h"""
+
+
+@query(PAIRS)
+def pairs_traded(spark, sf_dir):
+    bars = hourly(spark, sf_dir)
+    x = bars.select("bar_start_ms", F.col("symbol").alias("a"), F.col("close").alias("x"))
+    y = bars.select("bar_start_ms", F.col("symbol").alias("b"), F.col("close").alias("y"))
+    return rounded(pairs.traded(pairs.spreads(x.join(y, "bar_start_ms").where("a < b"), 60), entry=1.5), 4)
+
+
 FITTED = RETURNS + """, g AS (SELECT symbol, 0.05 + 0.05 * x AS alpha, 0.70 + 0.05 * y AS beta, 0.000001 + 0.000001 * z AS omega, s FROM (SELECT symbol, avg(ret * ret) AS s FROM n GROUP BY 1), range(5) a(x), range(5) b(y), range(5) c(z) WHERE round(0.75 + 0.05 * (x + y), 6) < 1),
 a AS (WITH RECURSIVE f AS (SELECT symbol, CAST(0 AS BIGINT) AS i, CAST(alpha AS DOUBLE) AS alpha, CAST(beta AS DOUBLE) AS beta, CAST(omega AS DOUBLE) AS omega, CAST(s AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS ll, CAST(0 AS DOUBLE) AS before, CAST(0 AS DOUBLE) AS last FROM g
   UNION ALL SELECT n.symbol, n.i, alpha, beta, omega, greatest(omega + alpha * n.ret * n.ret + beta * f.v, 1e-10), f.ll - 0.5 * (ln(f.v) + n.ret * n.ret / f.v), f.v, n.ret FROM f JOIN n ON n.symbol = f.symbol AND n.i = f.i + 1) SELECT * FROM f),

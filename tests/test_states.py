@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapelight.operators import carried, events, folds, portfolio, regimes, volatility
+from tapelight.operators import carried, events, folds, pairs, portfolio, regimes, volatility
 
 HOUR = 3_600_000
 
@@ -263,3 +263,41 @@ def test_weights(spark):
         mu = np.array([matrices[r.date, a, a].mean_a for a in names])
         slope = mu - 4 * c @ w
         assert w.sum() == pytest.approx(1) and (slope[w > 1e-6].max() - slope[w > 1e-6].min() < 1e-3 or w.max() > 0.999) and slope[w > 1e-6].min() > slope.max() - 1e-3
+
+
+def test_pairs_against_plain_loops(spark):
+    rng = random.Random(8)
+    at, rows = 0.0, []
+    for i in range(300):
+        at = 0.8 * at + rng.gauss(0, 1)
+        y = 50 + 10 * math.sin(i / 30) + rng.gauss(0, 0.5)
+        rows.append(("p", "q", i, 3 + 1.5 * y + at, y))
+    extra = [("p", "q", 1000, None, 1.0), ("flat", "q", 0, 1.0, 2.0), ("flat", "q", 1, 2.0, 2.0), *(("flat", "q", i, float(i), 2.0) for i in range(2, 40)), *(("line", "q", i, 2.0 * i, 1.0 * i) for i in range(40))]
+    frame = spark.createDataFrame(rows + extra, "a string, b string, bar_start_ms long, x double, y double")
+    found = {(r.a, r.bar_start_ms): r for r in pairs.traded(pairs.spreads(frame, 20)).collect()}
+    assert len(found) == 300 + 40 + 40
+    position, signals = 0, set()
+    for i in range(300):
+        r = found["p", i]
+        z = None
+        if i >= 19:
+            x, y = (np.array([row[k] for row in rows[i - 19 : i + 1]]) for k in (3, 4))
+            beta = np.cov(x, y)[0, 1] / y.var(ddof=1)
+            left = x - x.mean() - beta * (y - y.mean())
+            z = left[-1] / left.std(ddof=1)
+            assert (r.beta, r.spread, r.zscore) == pytest.approx((beta, left[-1], z), abs=1e-6)
+        else:
+            assert r.beta is None and r.zscore is None
+        before = position
+        if z is not None:
+            if position == 0 and abs(z) > 2:
+                position = 1 if z < 0 else -1
+            elif position == 1 and z > -0.5 or position == -1 and z < 0.5:
+                position = 0
+        signal = "hold" if before == position else {1: "enter_long", -1: "enter_short", 0: "exit_long" if before == 1 else "exit_short"}[position]
+        signals.add(signal)
+        assert (r.position, r.signal) == (position, signal)
+        assert r.state == (None if z is None else "long" if z < -2 else "short" if z > 2 else "exit" if abs(z) < 0.5 else "neutral")
+    assert signals == set(pairs.SIGNALS)
+    assert all(r.zscore is None and r.position == 0 for (a, _), r in found.items() if a == "flat") and found["line", 39].zscore == 0 and found["line", 39].state == "exit"
+    assert pairs.traded(pairs.spreads(frame.where("false"), 20)).count() == 0
