@@ -42,6 +42,11 @@ def ratio(a, b) -> Column:
     return F.try_divide(a, b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as in DuckDB and IEEE 754: an infinity where b is 0, NaN for 0 / 0."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
 def zscore(x: str | Column, frame: WindowSpec, sample: bool = False, flat: float = 1e-12) -> Column:
     """(x - mean) / deviation over the frame; 0 where the deviation is (nearly) 0."""
     x = F.col(x) if isinstance(x, str) else x

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..functions.frames import full, last_rows, ordered, prior_rows, ratio, so_far, zscore
+from ..functions.frames import full, last_rows, ordered, prior_rows, quotient, ratio, so_far, zscore
 
 
 def sma(x: str, frame: WindowSpec, n: int) -> Column:
@@ -107,9 +107,12 @@ def order_flow(ticks: DataFrame, n: int) -> DataFrame:
 
 
 def patterns(ticks: DataFrame, threshold: float) -> DataFrame:
-    """Back-runs: an up move of at least `threshold` and then a smaller move down, one or two ticks later."""
+    """Back-runs: an up move of at least `threshold` and then a smaller move down, one or two ticks later.
+
+    A move from a price of 0 is infinite, one from 0 to 0 is NaN, which counts as above any threshold.
+    """
     by = ordered()
-    move = lambda k: ratio(F.lead("price", k).over(by), F.lead("price", k - 1).over(by)) - 1 if k else ratio("price", F.lag("price").over(by)) - 1
+    move = lambda k: quotient(F.lead("price", k).over(by), F.lead("price", k - 1).over(by)) - 1 if k else quotient(F.col("price"), F.lag("price").over(by)) - 1
     m = ticks.select("symbol", "trade_id", move(0).alias("up"), move(1).alias("one"), move(2).alias("two"))
     down = F.when((F.col("one") < 0) & (-F.col("one") < F.col("up")), 1).when((F.col("two") < 0) & (-F.col("two") < F.col("up")), 2)
     return m.withColumn("after", down).where((F.col("up") >= threshold) & F.col("after").isNotNull()).select("symbol", "trade_id", "up", "after")

@@ -173,3 +173,9 @@ def test_quantiles_are_nearest_ranks(spark):
         at = lambda share: own[int(share * (len(own) - 1) + 0.5)] if own else None  # noqa: B023, E731
         if own:
             assert found[key] == (own[0], at(0.5), own[-1])
+
+
+def test_backruns_from_a_price_of_zero(spark):
+    t = tick_rows(spark, [(p, 1, i) for i, p in enumerate([10, 0, 20, 15, 0, 0, 5, 4])])
+    found = rolling.patterns(t, 0.5).orderBy("trade_id").collect()
+    assert [(r.trade_id, str(r.up), r.after) for r in found] == [(2, "inf", 1), (5, "nan", 2), (6, "inf", 1)]
