@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..functions.frames import full, last_rows, ordered, prior_rows, quotient, ratio, so_far, zscore
+from ..functions.frames import full, last_rows, logarithm, ordered, prior_rows, quotient, ratio, so_far, zscore
 
 
 def sma(x: str, frame: WindowSpec, n: int) -> Column:
@@ -82,18 +82,23 @@ def alpha(bars: DataFrame, n: int, order=("bar_start_ms",)) -> DataFrame:
 
 
 def microstructure(ticks: DataFrame, n: int) -> DataFrame:
-    """Roll spread, bid-ask bounce, Kyle's lambda and Amihud illiquidity over the last n ticks; null until n differences."""
+    """Roll spread, bid-ask bounce, Kyle's lambda and Amihud illiquidity over the last n ticks; null until n differences.
+
+    A return to or from a price of 0 is infinite, and so is the illiquidity of its frames. Where prices don't move the
+    bounce is 1, where the flow doesn't change lambda is NaN. Ticks without a quantity have no illiquidity.
+    """
     by = ordered()
-    d = ticks.withColumn("dp", F.col("price") - F.lag("price").over(by)).withColumn("ret", F.abs(F.log(ratio("price", F.lag("price").over(by)))))
+    d = ticks.withColumn("dp", F.col("price") - F.lag("price").over(by)).withColumn("ret", F.abs(logarithm(quotient(F.col("price"), F.lag("price").over(by)))))
     d = d.withColumn("before", F.lag("dp").over(by)).withColumn("flow", F.col("side") * F.col("quantity")).withColumn("illiquid", ratio("ret", "quantity"))
     frame = last_rows(n)
     ready = F.count("before").over(frame) >= n
     covariance, variance = F.covar_pop("dp", "before").over(frame), F.var_pop("dp").over(frame)
+    slope = F.coalesce(F.regr_slope("dp", "flow").over(frame), F.when(F.regr_count("dp", "flow").over(frame) > 0, float("nan")))
     return d.select(
         "symbol", "trade_id",
         F.when(ready, 2 * F.sqrt(F.greatest(-covariance, F.lit(0.0)))).alias("roll_spread"),
-        F.when(ready, F.least(F.greatest(-ratio(covariance, variance), F.lit(0.0)), F.lit(1.0))).alias("bounce"),
-        F.when(ready, F.regr_slope("dp", "flow").over(frame)).alias("kyle_lambda"),
+        F.when(ready, F.least(F.greatest(-quotient(covariance, variance), F.lit(0.0)), F.lit(1.0))).alias("bounce"),
+        F.when(ready, slope).alias("kyle_lambda"),
         F.when(ready, F.avg("illiquid").over(frame)).alias("amihud"),
     )
 

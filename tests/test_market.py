@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -179,3 +180,11 @@ def test_backruns_from_a_price_of_zero(spark):
     t = tick_rows(spark, [(p, 1, i) for i, p in enumerate([10, 0, 20, 15, 0, 0, 5, 4])])
     found = rolling.patterns(t, 0.5).orderBy("trade_id").collect()
     assert [(r.trade_id, str(r.up), r.after) for r in found] == [(2, "inf", 1), (5, "nan", 2), (6, "inf", 1)]
+
+
+def test_microstructure_beside_a_price_of_zero(spark):
+    t = tick_rows(spark, [(p, 2, i) for i, p in enumerate([4, 5, 4, 0, 4, 5, 5, 5, 5, 5])])
+    found = {r.trade_id: r for r in rolling.microstructure(t, 3).collect()}
+    assert found[2].amihud is None and found[4].amihud == found[5].amihud == found[6].amihud == float("inf")
+    assert found[7].amihud == pytest.approx(math.log(5 / 4) / 2 / 3) and found[7].kyle_lambda != found[7].kyle_lambda
+    assert found[9].bounce == 1.0 and found[9].amihud == 0.0
