@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import last_ms, last_rows, ordered, ratio, so_far
+from ..functions.frames import last_rows, ordered, ratio, so_far
+from .rolling import trailing
 
 BAR = ("bar_start_ms",)
 
@@ -102,8 +103,9 @@ def volume_schedule(ticks: DataFrame, quantity: float) -> DataFrame:
 
 def participation(ticks: DataFrame, ms: int) -> DataFrame:
     """Share of each tick's quantity in the volume of the trailing interval, and the change of price over it."""
-    frame = last_ms(ms)
-    return ticks.select("symbol", "trade_id", ratio("quantity", F.sum("quantity").over(frame)).alias("share"), (F.max("price").over(frame) - F.min("price").over(frame)).alias("span"), F.avg("quantity").over(frame).alias("mean_quantity"))
+    of = {"volume": ("sum", "quantity"), "n": ("count", "quantity"), "top": ("max", "price"), "bottom": ("min", "price")}
+    out = trailing(ticks.select("symbol", "trade_id", "ts_ms", "price", "quantity"), ms, of)
+    return out.select("symbol", "trade_id", ratio("quantity", "volume").alias("share"), (F.col("top") - F.col("bottom")).alias("span"), ratio("volume", "n").alias("mean_quantity"))
 
 
 def venues(ticks: DataFrame) -> DataFrame:

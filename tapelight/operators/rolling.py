@@ -5,13 +5,32 @@ Frames are partitioned by symbol. What is divided by zero, and the logarithm of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.frames import full, last_rows, logarithm, ordered, prior_rows, quotient, ratio, so_far, zscore
 
 
+def trailing(rows: DataFrame, ms: int, of: dict[str, tuple[str, str]], key=("symbol",), time: str = "ts_ms") -> DataFrame:
+    """rows with aggregates over those of the interval [t - ms, t]; `of` maps a new column to (count, sum, min or max; column).
+
+    Time is cut into periods of `ms`. An interval is what its own period has so far and the end of the period before, so
+    each row stands in its own period and, moved by `ms`, in the next; running aggregates from both ends are joined. Hence
+    the work doesn't grow with the rows of an interval, and a task needs a key's rows of two periods only. Rows without a
+    time see each other.
+    """
+    own = rows.withColumns({"at": F.col(time), "is_own": F.lit(True)})
+    before = rows.where(F.col(time).isNotNull()).withColumns({"at": F.col(time) + ms, "is_own": F.lit(False)})
+    both = own.unionByName(before).withColumn("period", F.col("at") - F.pmod("at", F.lit(ms)))
+    both = both.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "period")  # a given number isn't coalesced by size; these rows are small until they are sorted
+    by = Window.partitionBy(*key, "period")
+    since, until = by.orderBy("at"), by.orderBy(F.desc("at"))  # frames with all rows of the same time
+    join = {"count": lambda a, b: a + b, "sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
+    made = {name: join[kind](getattr(F, kind)(F.when(F.col("is_own"), F.col(x))).over(since), getattr(F, kind)(F.when(~F.col("is_own"), F.col(x))).over(until)) for name, (kind, x) in of.items()}
+    return both.withColumns(made).where("is_own").drop("at", "is_own", "period")
+
+
 def sma(x: str, frame: WindowSpec, n: int) -> Column:
     return full(F.avg(x).over(frame), frame, n)
 

@@ -90,7 +90,8 @@ def schedule_by_volume(spark, sf_dir):
 FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW)""")
 def participation_hourly(spark, sf_dir):
     out = A.participation(ticks(spark, sf_dir), HOUR)
-    return out.select("symbol", "trade_id", F.round("share", 6).alias("share"), F.round("span", 4).alias("span"), F.round("mean_quantity", 4).alias("mean_quantity"))
+    share = F.round(F.col("share") * 1e6) / 1e6  # halves as DuckDB rounds them
+    return out.select("symbol", "trade_id", share.alias("share"), F.round("span", 4).alias("span"), F.round("mean_quantity", 4).alias("mean_quantity"))
 
 
 @query("""{T}, v AS (SELECT symbol, exchange, avg(price) AS price, sum(quantity) AS volume, count(*) AS n FROM t GROUP BY 1, 2)

@@ -188,3 +188,24 @@ def test_microstructure_beside_a_price_of_zero(spark):
     assert found[2].amihud is None and found[4].amihud == found[5].amihud == found[6].amihud == float("inf")
     assert found[7].amihud == pytest.approx(math.log(5 / 4) / 2 / 3) and found[7].kyle_lambda != found[7].kyle_lambda
     assert found[9].bounce == 1.0 and found[9].amihud == 0.0
+
+
+def test_trailing_intervals_against_a_plain_loop(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, *range(-25, 60)]), rng.choice([None, 0.0, 1.5, 4.0])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "symbol string, trade_id long, ts_ms long, quantity double")
+    out = rolling.trailing(frame, 10, {"n": ("count", "trade_id"), "total": ("sum", "quantity"), "low": ("min", "quantity"), "high": ("max", "quantity")})
+    found = {r.trade_id: (r.n, r.total, r.low, r.high) for r in out.collect()}
+    assert len(found) == len(rows)
+    for symbol, i, t, _ in rows:
+        seen = [(q, u) for s, _, u, q in rows if s == symbol and (u is None if t is None else u is not None and t - 10 <= u <= t)]
+        known = [q for q, _ in seen if q is not None]
+        assert found[i] == (len(seen), sum(known) if known else None, min(known, default=None), max(known, default=None))
+    empty = rolling.trailing(frame.where("false"), 10, {"n": ("count", "trade_id")})
+    assert empty.count() == 0
+
+
+@pytest.mark.parametrize("name", ["participation_hourly", "trade_intensity"])
+def test_intervals_are_not_summed_row_by_row(spark, name):
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "-3600000" not in plan and "windowspecdefinition(symbol" in plan and "period" in plan
