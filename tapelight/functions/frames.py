@@ -27,11 +27,6 @@ def so_far(key=KEY, order=ORDER) -> WindowSpec:
     return ordered(key, order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def last_ms(ms: int, key=KEY, time: str = "ts_ms") -> WindowSpec:
-    """Rows of the trailing interval [t - ms, t]."""
-    return Window.partitionBy(*key).orderBy(time).rangeBetween(-ms, 0)
-
-
 def full(value: Column, frame: WindowSpec, n: int) -> Column:
     """Null until the frame has n rows."""
     return F.when(F.count(F.lit(1)).over(frame) >= n, value)

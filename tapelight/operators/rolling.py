@@ -20,9 +20,8 @@ def trailing(rows: DataFrame, ms: int, of: dict[str, tuple[str, str]], key=("sym
     the work doesn't grow with the rows of an interval, and a task needs a key's rows of two periods only. Rows without a
     time see each other.
     """
-    own = rows.withColumns({"at": F.col(time), "is_own": F.lit(True)})
-    before = rows.where(F.col(time).isNotNull()).withColumns({"at": F.col(time) + ms, "is_own": F.lit(False)})
-    both = own.unionByName(before).withColumn("period", F.col("at") - F.pmod("at", F.lit(ms)))
+    both = rows.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_own")).where(F.col("is_own") | F.col(time).isNotNull())
+    both = both.withColumn("at", F.when(F.col("is_own"), F.col(time)).otherwise(F.col(time) + ms)).withColumn("period", F.col("at") - F.pmod("at", F.lit(ms)))
     both = both.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "period")  # a given number isn't coalesced by size; these rows are small until they are sorted
     by = Window.partitionBy(*key, "period")
     since, until = by.orderBy("at"), by.orderBy(F.desc("at"))  # frames with all rows of the same time

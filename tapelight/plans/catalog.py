@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sessions
-from ..functions.frames import last_ms, last_rows, ordered, zscore
+from ..functions.frames import last_rows, ordered, zscore
 from ..operators import bars as B
 from ..operators import book, carried, filters, folds, joins, reports, rolling
 from .ticks import EXCHANGES, table, ticks
@@ -229,7 +229,8 @@ def lorentz_boost(spark, sf_dir):
 
 @query("""{T} SELECT symbol, trade_id, count(*) OVER w AS n, round(sum(quantity) OVER w, 6) AS volume FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW)""")
 def trade_intensity(spark, sf_dir):
-    return rounded(ticks(spark, sf_dir).select("symbol", "trade_id", F.count(F.lit(1)).over(last_ms(HOUR)).alias("n"), F.sum("quantity").over(last_ms(HOUR)).alias("volume")))
+    t = ticks(spark, sf_dir).select("symbol", "trade_id", "ts_ms", "quantity", F.lit(1).alias("one"))
+    return rounded(rolling.trailing(t, HOUR, {"n": ("count", "one"), "volume": ("sum", "quantity")}).select("symbol", "trade_id", "n", "volume"))
 
 
 @query("""{T} SELECT symbol, trade_id, CAST(sign(price - lag(price) OVER (PARTITION BY symbol ORDER BY ts_ms, trade_id)) AS DOUBLE) AS sign FROM t""")
