@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import ratio
@@ -76,24 +76,56 @@ def sliced(orders: DataFrame, profile: Sequence[float]) -> DataFrame:
     return orders.select("order_id", "quantity", F.posexplode(F.array(*map(F.lit, parts))).alias("slice", "part")).select("order_id", "slice", (F.col("quantity") * F.col("part")).alias("quantity"))
 
 
-def filled(orders: DataFrame, offers: DataFrame, market: str, side: str = "buy") -> DataFrame:
+def _blocks(rows: DataFrame, market: str, key: Column, size: int) -> DataFrame:
+    """rows with `block`: which of the runs of about `size` rows, in the order of `key`, a row of its market is in.
+
+    The bounds are the keys that a hash picks, so equal rows always fall into the same block; they are found by bisection.
+    """
+    keyed = rows.withColumn("key", key)
+    bounds = keyed.where(F.pmod(F.xxhash64(market, "key"), F.lit(size)) == 0).groupBy(market).agg(F.sort_array(F.collect_set("key")).alias("bounds"))
+    bounds = bounds.withColumn("steps", F.filter(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), lambda step: step <= F.size("bounds")))
+    below = F.aggregate("steps", F.lit(0), lambda at, step: F.when(at + step <= F.size("bounds"), F.when(F.get("bounds", at + step - 1) < F.col("key"), at + step).otherwise(at)).otherwise(at))
+    return keyed.join(F.broadcast(bounds), market, "left").withColumn("block", F.when(F.col("bounds").isNull(), 0).otherwise(below)).drop("bounds", "steps")
+
+
+def _laid_out(rows: DataFrame, market: str, amount: str, order: Sequence[str | Column], begin: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """rows with `begin` and `end` on their market's line of running amounts, and the ends of its blocks (market, block, low, high)."""
+    line, inside = Window.partitionBy(market).orderBy("block"), Window.partitionBy(market, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(market, "block").agg(F.sum(amount).alias("total")).withColumn("high", F.sum("total").over(line)).select(market, "block", (F.col("high") - F.col("total")).alias("low"), "high")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.repartition(n, market, "block").withColumn("running", F.sum(amount).over(inside)).join(F.broadcast(ends.drop("high")), [market, "block"])
+    return out.withColumn(end, F.col("low") + F.col("running")).withColumn(begin, F.col(end) - F.col(amount)).drop("running", "low"), ends
+
+
+def filled(orders: DataFrame, offers: DataFrame, market: str, side: str = "buy", size: int = 1 << 15) -> DataFrame:
     """order_id, offer_id, filled, price: orders of a market served one after the other (by order_id) from its offers, the best price first.
 
     What an offer (offer_id, price, size) holds beyond an order is left for the next. Both are laid out on one line of
     running quantities and meet where their intervals overlap, so nothing is carried from order to order. Orders beyond all
     offers stay open; equal prices go by offer_id. Rows without a market, or a quantity or size above 0, are left out.
+
+    Each side is cut into blocks of about `size` rows, whose totals place them on the line. A pair of blocks that overlap
+    is matched on its own, so a task needs a pair and not a market, however quantities are spread.
     """
+    price = F.col("price") if side == "buy" else -F.col("price")
     best = F.asc("price") if side == "buy" else F.desc("price")
-    wanted = orders.where("quantity > 0").withColumn("until", F.sum("quantity").over(Window.partitionBy(market).orderBy("order_id").rowsBetween(Window.unboundedPreceding, 0)))
-    wanted = wanted.select(market, "order_id", (F.col("until") - F.col("quantity")).alias("begin"), "until")
-    held = offers.where("size > 0").withColumn("offered", F.sum("size").over(Window.partitionBy(market).orderBy(best, "offer_id").rowsBetween(Window.unboundedPreceding, 0)))
-    held = held.select(market, "offer_id", "price", (F.col("offered") - F.col("size")).alias("first"), "offered")
+    there = F.col(market).isNotNull()
+    wanted = _blocks(orders.where(there & F.expr("quantity > 0")).select(market, "order_id", "quantity"), market, F.struct("order_id"), size)
+    wanted, of_orders = _laid_out(wanted.drop("key"), market, "quantity", ["order_id"], "begin", "until")
+    held = _blocks(offers.where(there & F.expr("size > 0")).select(market, "offer_id", "price", "size"), market, F.struct((F.lit(side == "sell") & F.col("price").isNull()).alias("last"), price.alias("price"), "offer_id"), size)
+    held, of_offers = _laid_out(held.drop("key"), market, "size", [best, "offer_id"], "first", "offered")
+    n = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few rows: two for each end of a block.
+    a, b = of_orders.withColumnsRenamed({"block": "order_block", "low": "a", "high": "b"}), of_offers.withColumnsRenamed({"block": "offer_block", "low": "c", "high": "d"})
+    pairs = a.join(b, market).where("a < d AND c < b").select(market, "order_block", "offer_block", F.greatest("a", "c").alias("low"), F.least("b", "d").alias("high"))
+    left = wanted.withColumnRenamed("block", "order_block").join(F.broadcast(pairs), [market, "order_block"]).where("begin < high AND until > low")
+    right = held.withColumnRenamed("block", "offer_block").join(F.broadcast(pairs), [market, "offer_block"]).where("first < high AND offered > low")
     # An interval overlap by merging: each begin finds what is open on the other side, instead of joining all with all.
-    both = wanted.select(market, F.col("begin").alias("at"), F.struct("order_id", "until").alias("order"), F.lit(None).cast(held.select(F.struct("offer_id", "price", "offered")).schema[0].dataType).alias("offer"))
-    other = held.select(market, F.col("first").alias("at"), F.lit(None).cast(wanted.select(F.struct("order_id", "until")).schema[0].dataType).alias("order"), F.struct("offer_id", "price", "offered").alias("offer"))
-    line = Window.partitionBy(market).orderBy("at")
-    merged = both.unionByName(other)
-    open_now = merged.withColumns({"order": F.last("order", True).over(line), "offer": F.last("offer", True).over(line)}).select(market, "at", "order", "offer").distinct()
+    place = [market, "order_block", "offer_block"]
+    order, offer = F.struct("begin", "until", "order_id"), F.struct("first", "offered", "offer_id", "price")
+    merged = left.select(*place, F.greatest("begin", "low").alias("at"), order.alias("order")).unionByName(right.select(*place, F.greatest("first", "low").alias("at"), offer.alias("offer")), allowMissingColumns=True)
+    line = Window.partitionBy(*place).orderBy("at")
+    open_now = merged.repartition(n, *place).select(*place, "at", F.max("order").over(line).alias("order"), F.max("offer").over(line).alias("offer")).distinct()
     until = F.least(F.col("order.until"), F.col("offer.offered"))
-    met = open_now.where(F.col(market).isNotNull() & F.col("order").isNotNull() & F.col("offer").isNotNull() & (until > F.col("at")))
+    met = open_now.where(F.col("order").isNotNull() & F.col("offer").isNotNull() & (until > F.col("at")))
     return met.select(F.col("order.order_id").alias("order_id"), F.col("offer.offer_id").alias("offer_id"), (until - F.col("at")).alias("filled"), F.col("offer.price").alias("price"))

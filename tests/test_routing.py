@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__
 from tapelight.operators import candles, routing
 
 BARS = "symbol string, bar_start_ms long, open double, high double, low double, close double"
@@ -104,3 +106,22 @@ def test_filling_against_a_plain_loop(spark, side):
     found = [tuple(r) for r in routing.filled(*frames, "market", side).select("order_id", "offer_id", "filled", "price").collect()]
     assert sorted(found) == sorted(want) and len(want) > 15
     assert routing.filled(frames[0], frames[1].where("false"), "market").count() == 0 and routing.filled(frames[0].where("false"), frames[1], "market").count() == 0
+
+
+@pytest.mark.parametrize(("few", "many"), [("order", "offer"), ("offer", "order"), (None, None)])
+def test_filling_by_blocks_of_a_market(spark, few, many):
+    rng = random.Random(3)
+    n, amount = {few: 5, many: 600}, {few: 700, many: 9}
+    orders = [(i, "m", float(rng.randint(1, amount.get("order", 20)))) for i in range(n.get("order", 400))]
+    offers = [(i, "m", float(rng.randint(1, 3)), float(rng.randint(1, amount.get("offer", 20)))) for i in range(n.get("offer", 400))]
+    frames = spark.createDataFrame(orders, ORDERS), spark.createDataFrame(offers, "offer_id long, market string, price double, size double")
+    whole, parts = ({tuple(r) for r in routing.filled(*frames, "market", size=size).collect()} for size in (1 << 20, 8))
+    least = min(sum(q for _, _, q in orders), sum(s for *_, s in offers))
+    assert whole == parts and sum(r[2] for r in parts) == least
+    blocks = routing._blocks(frames[1], "market", F.struct("price", "offer_id"), 8).groupBy("block").count().collect()
+    assert len(blocks) > n.get("offer", 400) // 20 and max(r["count"] for r in blocks) < 80
+
+
+def test_filling_needs_no_market_in_one_task(spark):
+    plan = __spark_entry__.queries()["orders_filled"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "Window [" in line and "block" not in line] == []
