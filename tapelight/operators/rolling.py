@@ -1,6 +1,6 @@
 """Rolling statistics and indicators over ticks or bars: frames of a fixed number of rows or of time.
 
-Frames are partitioned by symbol. What is divided by zero, and the logarithm of what isn't positive, is null. State that can't be a frame (Wilder averages and the like) is in folds.py.
+Frames are partitioned by symbol. Unless an operator says otherwise, what is divided by zero, and the logarithm of what isn't positive, is null. State that can't be a frame (Wilder averages and the like) is in folds.py.
 """
 
 from __future__ import annotations
