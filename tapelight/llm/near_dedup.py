@@ -38,8 +38,8 @@ CHUNKS, WIDTH, ERRORS = 10, 5, 1
 #: Pairs whose signatures differ in so many positions or more aren't confirmed, unless `far` says otherwise: sets of
 #: similarity 0.8 are that far apart with a probability of 1e-5. CHUNKS * WIDTH + 1 confirms every pair that meets.
 FAR = 24
-#: Columns of one product of incidence matrices.
-STRIP = 1 << 16
+#: Columns of one product of incidence matrices, two of which (of SETS rows) are held at a time: 8 MB each.
+STRIP = 1 << 12
 #: Ids of one task: of signatures, and of full sets.
 SIGNATURES, SETS = 2048, 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -196,6 +196,32 @@ def _sides(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(left), np.flatnonzero(~left)
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each two sets of distinct numbers, as products of strips of incidence matrices."""
+
+    def held(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns (places in `common`), by column."""
+        rows, values = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.searchsorted(common, values).astype(np.int32)
+        there = common[np.minimum(at, len(common) - 1)] == values
+        order = np.argsort(at[there], kind="stable")
+        return rows[there][order], at[there][order]
+
+    shared = np.zeros((len(left), len(right)), np.int64)
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(common):
+        return shared
+    sides = held(left), held(right)
+    for start in range(0, len(common), STRIP):
+        strips = []
+        for sets, (rows, columns) in zip((left, right), sides, strict=True):
+            a, b = np.searchsorted(columns, (start, start + STRIP))
+            strips.append(np.zeros((len(sets), min(STRIP, len(common) - start)), np.float32))
+            strips[-1][rows[a:b], columns[a:b] - start] = 1
+        shared += np.rint(strips[0] @ strips[1].T).astype(np.int64)
+    return shared
+
+
 def dense_links(rows: DataFrame, representatives: DataFrame, sets: DataFrame, percent: int, far: int = FAR) -> DataFrame:
     """Links (a, b) between different components among ids (key, id, component) under one key; one for each two components."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -218,20 +244,8 @@ def dense_links(rows: DataFrame, representatives: DataFrame, sets: DataFrame, pe
         left, right = _sides(block)
         shingles = block["shingles"].tolist()
         part = pd.factorize(block["component"])[0]
-        common = np.intersect1d(np.concatenate([shingles[k] for k in left]), np.concatenate([shingles[k] for k in right]))
-
-        def incidence(side: np.ndarray, strip: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(side), len(strip)), np.float32)
-            for row, k in enumerate(side):
-                at = np.searchsorted(strip, shingles[k])
-                out[row, at[strip[np.minimum(at, len(strip) - 1)] == shingles[k]]] = 1
-            return out
-
+        shared = intersections([shingles[k] for k in left], [shingles[k] for k in right])
         size = np.array([len(x) for x in shingles])
-        shared = np.zeros((len(left), len(right)), np.int64)
-        for start in range(0, len(common), STRIP):
-            strip = common[start : start + STRIP]
-            shared += np.rint(incidence(left, strip) @ incidence(right, strip).T).astype(np.int64)
         x, y = np.nonzero((100 * shared >= percent * (size[left][:, None] + size[right] - shared)) & (part[left][:, None] != part[right]))
         x, y = left[x], right[y]
         both = np.sort(np.stack([part[x], part[y]], 1), 1)

@@ -12,13 +12,20 @@ from .arrowtext import Memo
 
 
 @functools.lru_cache(2)
-def token_memo(path: str) -> Memo:
-    """Texts to ids, without special tokens; the strings of special tokens in a text are ordinary text."""
+def _tokenizer(path: str):
+    """The file's tokenizer, for which the strings of special tokens are ordinary text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core already
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@functools.lru_cache(2)
+def token_memo(path: str) -> Memo:
+    """Texts to ids, without special tokens; the strings of special tokens in a text are ordinary text."""
+    tokenizer = _tokenizer(path)
     return Memo(lambda texts: [found.ids for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
 
@@ -28,10 +35,7 @@ def library_ids(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarra
 
     Texts with the literal of an added token (in any case, as a normaliser may lower it) are encoded whole by the library.
     """
-    from tokenizers import Tokenizer
-
-    memo = token_memo(path)
-    library = Tokenizer.from_file(path)
+    memo, library = token_memo(path), _tokenizer(path)
     literals = {token.content.encode().lower() for token in library.get_added_tokens_decoder().values()}
 
     def encode(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +53,11 @@ def library_ids(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarra
             return flat, bounds
         lengths, parts, done = np.diff(bounds), [], 0
         for text in sorted(whole):
-            own = library.encode(data[at[text] : at[text + 1]].tobytes().decode(), add_special_tokens=False).ids
+            library.encode_special_tokens = False
+            try:
+                own = library.encode(data[at[text] : at[text + 1]].tobytes().decode(), add_special_tokens=False).ids
+            finally:
+                library.encode_special_tokens = True  # as the memo needs it
             parts += [flat[bounds[done] : bounds[text]], np.array(own, flat.dtype)]
             lengths[text], done = len(own), text + 1
         return np.concatenate([*parts, flat[bounds[done] :]]), np.append(0, np.cumsum(lengths))

@@ -101,6 +101,25 @@ def test_near_groups_dense(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, 4, 80)
 
 
+def test_intersections_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    many = draw.integers(-(2**62), 2**62, 70_000)
+    sets = [np.unique(draw.choice(many, 400)) for _ in range(2 * near_dedup.SETS)] + [np.zeros(0, np.int64)]
+    left, right = sets[: near_dedup.SETS], sets[near_dedup.SETS :]
+    tracemalloc.start()
+    shared = near_dedup.intersections(left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20  # one product of 65,536 columns took 260 MB
+    for i, j in [(0, 0), (7, 300), (511, 512)]:
+        assert shared[i, j] == len(np.intersect1d(left[i], right[j]))
+    assert near_dedup.intersections(sets[-1:], right).sum() == 0
+
+
 def test_index_guarantee():
     """Any two signatures up to the guaranteed distance share a key."""
     import numpy as np
