@@ -124,8 +124,8 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Memo:
     """Token ids of segments. Each distinct segment is encoded once and then looked up.
 
-    `encode` takes a list of strings and returns a list of id lists. Beyond `most` segments the memo starts
-    anew, so memory stays bounded whatever the vocabulary of the input.
+    `encode` takes a list of strings and returns a list of id lists. Beyond `most` segments the memo forgets those that
+    one call alone has had (all, if others are more than half), so memory stays bounded whatever the vocabulary of the input.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 300_000):
@@ -135,8 +135,20 @@ class Memo:
     def clear(self) -> None:
         self.rows: dict[bytes, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.again = np.zeros(1 << 16, bool)
         self.used = 0
 
+    def thin(self) -> None:
+        """Keep the segments that came in more than one call."""
+        kept = np.flatnonzero(self.again[: len(self.rows)])
+        if 2 * len(kept) > self.most:
+            return self.clear()
+        keys = list(self.rows)  # in the order of their rows
+        lengths = self.lengths[kept]
+        self.flat = self.flat[ranges(self.starts[kept], lengths.astype(np.int64))]
+        self.starts, self.lengths, self.again = np.cumsum(lengths, dtype=np.int64) - lengths, lengths, np.zeros(len(kept), bool)
+        self.rows, self.used = {keys[i]: row for row, i in enumerate(kept.tolist())}, len(self.flat)
+
     def _store(self, name: str, at: int, new: np.ndarray) -> None:
         old = getattr(self, name)
         if at + len(new) > len(old):
@@ -148,11 +160,12 @@ class Memo:
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts and the n + 1 places where a text's ids begin and end."""
         if len(self.rows) > self.most:
-            self.clear()
+            self.thin()
         starts, first = segments(data, at)
         codes, distinct = dictionary(data, starts)
         keys = distinct.to_pylist()
         rows = np.fromiter((self.rows.get(k, -1) for k in keys), np.int64, len(keys))
+        self.again[rows[rows >= 0]] = True
         if len(new := np.flatnonzero(rows < 0)):
             known = len(self.rows)
             fresh = [keys[i] for i in new]
@@ -162,6 +175,7 @@ class Memo:
             self._store("flat", self.used, flat)
             self._store("starts", known, self.used + np.cumsum(lengths) - lengths)
             self._store("lengths", known, lengths.astype(np.int32))
+            self._store("again", known, np.zeros(len(new), bool))
             self.used += len(flat)
             self.rows.update(zip(fresh, range(known, known + len(fresh)), strict=True))
             rows[new] = np.arange(known, known + len(fresh))

@@ -1,83 +1,131 @@
 """Adaptive context-mixing range coder for token ids, in blocks that stand alone.
 
-An id is coded as three digits, of 6, 5 and 5 bits, the highest first. Three orders predict each digit. Order 0 is an adaptive
-distribution for the digits before it. Orders 1 and 2 remember, for a hash of the last id and of the last two ids, the id
-that came next, with a confidence of 0 to 3; their prediction is that id's digit, as long as its digits so far were right,
-so a guess that is ruled out has no share any more. The distribution that drives the range coder is the mixture of the
-three: order 1 has the odds p1 : 1 - p1 against order 0, and order 2 the odds p2 : 1 - p2 against these two together. p1
-and p2 are learnt in the block for each confidence, apart where both guess alike; once a guess's first digits are right,
-its odds are those of AFTER.
+Three orders predict an id. Order 0 is a distribution by the counts of ids so far. Orders 1 and 2 remember, for the last id and
+for a hash of the last two ids, an id that came next, with a confidence of 0 (none yet) to 3. The distribution that drives
+the range coder is the mixture of the three: order 0's shares, and each guess's own share on top of what its id has there.
+A guess's odds are learnt for every two confidences, apart where both guess alike.
 
 A block holds BLOCK ids at most and starts from an empty model, so any block can be read alone and a damaged one spoils
-only itself. Many blocks are coded in step, one numpy operation serving the same position of all of them.
+only itself. Its ids are cut into lanes of some 256 ids, coded in step with a range coder each; all lanes share the block's
+model, which learns after steps 1, 2, 4, 8 and every 8 from then on (order 0 after powers of 2). So one numpy operation
+serves thousands of ids, and when coding is not bound to the steps at all but in the range coder's own few operations.
 
-Block: `TLC2`, number of ids, number of words, CRC-32 of the ids (little-endian unsigned 32-bit), CRC-32 of the words
-(each little-endian unsigned 32-bit), then the words (little-endian unsigned 16-bit). Ids are 0 to 65534.
+Block: `TLC3`, number of ids, number of words, CRC-32 of the ids (little-endian unsigned 32-bit), CRC-32 of the words
+(each little-endian unsigned 16-bit), then the words: how many each lane has, then those of each lane. A lane ends in zeros
+that aren't stored. Ids are 0 to 65534.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1024
-STEP = 24  # what a symbol's count gains; totals stay under 2 ** 16 in a block
-#: Bits of the digits, and tables of them: one of the first, 64 of the second, 256 (by a hash) of the third.
-BITS, CONTEXTS = (6, 5, 5), (1, 64, 256)
-#: What a symbol adds to the running sums of a table.
-GAINS = [np.triu(np.full((1 << bits, 1 << bits), STEP, np.uint16)) for bits in BITS]
-SLOTS = 2048
+BLOCK = 1 << 20
+#: Lanes of a block at most, ids of a lane (at least, below LANES lanes), and steps between learning.
+LANES, LANE, STEPS = 4096, 256, 8
 NONE = 0xFFFF
-#: Odds, in 64ths, of a probability in 256ths, and of a guess of which 1 or 2 digits were right.
-ODDS = np.minimum(np.arange(256) * 64 // np.maximum(256 - np.arange(256), 1), 64 * 40).astype(np.int64)
-AFTER = (24, 96)
+#: What order 0 gives each id, and all ids so far together besides.
+LEAST_SHARE, SHARES = 1, (1 << 20) - (1 << 16)
+SLOTS = 18  # bits of order 2's hash
+CLASSES = 32
+#: A guess has so many times order 0's whole at most: the whole stays below 2 ** 29.
+MOST_ODDS = 255
 #: The range is kept from LEAST to 2 ** 16 times that; a word of 16 bits leaves (or enters) when it is below.
 LEAST = 1 << 32
 HEAD = struct.Struct("<4sIIII")
-MAGIC = b"TLC2"
-
-
-class _Lanes:
-    """Models and coder states of several blocks. Encodes `ids` (lanes, BLOCK), or decodes `words` (places, lanes)."""
-
-    def __init__(self, lengths: np.ndarray, words: np.ndarray | None = None):
-        n = len(lengths)
-        self.lengths, self.n = lengths, n
-        self.order1 = np.full(n * SLOTS, NONE, np.int32)
-        self.order2 = np.full(n * SLOTS, NONE, np.int32)
-        self.right = np.full(n * 16, 64 << 8, np.int64)  # probabilities in 65536ths, by order, confidence and agreement
-        # running sums of counts, and room for the rows of one step
-        self.digits = [np.tile(np.arange(1, (1 << bits) + 1, dtype=np.uint16), (n * tables, 1)) for bits, tables in zip(BITS, CONTEXTS, strict=True)]
-        self.sums = [np.empty((n, 1 << bits), np.uint16) for bits in BITS]
-        self.at = [np.arange(n) << bits for bits in BITS]
-        self.low, self.range = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
-        self.place = np.zeros(n, np.int64)
+MAGIC = b"TLC3"
+
+
+class _Model:
+    """What a block's ids so far say of the next."""
+
+    def __init__(self) -> None:
+        self.order1 = np.full(1 << 16, NONE, np.int32)
+        self.order2 = np.full(1 << SLOTS, NONE, np.int32)
+        self.counts = np.zeros(1 << 16, np.int64)
+        self.met, self.right1, self.right2 = (np.zeros(CLASSES, np.int64) for _ in range(3))
+        self.weigh()
+        self.mix()
+
+    def weigh(self) -> None:
+        """Order 0 from the counts."""
+        shares = LEAST_SHARE + self.counts * SHARES // max(1, int(self.counts.sum()))
+        self.ends = np.cumsum(shares)
+        self.starts = self.ends - shares
+        self.whole = int(self.ends[-1])
+        self.shares = shares
+
+    def mix(self) -> None:
+        """The guesses' shares by class, from how often they were right."""
+        wrong = 2 * (self.met - self.right1 - self.right2) + 2
+        most = MOST_ODDS * self.whole
+        self.extra1 = np.minimum(self.whole * (2 * self.right1 + 1) // wrong, most)
+        self.extra2 = np.minimum(self.whole * (2 * self.right2 + 1) // wrong, most)
+        self.extra1[CLASSES // 2 :] = 0  # alike: order 2 has both shares
+
+    def guesses(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Order 2's slot, both entries, both guesses, and their class; a is the last id, b the one before."""
+        slot = (a * 40503 ^ b * -1640531535) >> (32 - SLOTS) & ((1 << SLOTS) - 1)
+        entry1, entry2 = self.order1.take(a), self.order2.take(slot)
+        guess1, guess2 = entry1 & 0xFFFF, entry2 & 0xFFFF
+        return slot, entry1, entry2, guess1, guess2, (entry1 >> 16) + (entry2 >> 16 << 2) + ((guess1 == guess2) << 4)
+
+    def learn(self, x: np.ndarray, a: np.ndarray, found: tuple[np.ndarray, ...]) -> None:
+        """Take in ids and what `guesses` gave for them."""
+        slot, entry1, entry2, guess1, guess2, kind = found
+        hit1, hit2 = x == guess1, x == guess2
+        seen = np.bincount(kind + hit1 * np.int32(CLASSES) + hit2 * np.int32(2 * CLASSES), minlength=4 * CLASSES).reshape(4, CLASSES)
+        self.met += seen.sum(0)
+        self.right1 += seen[1]
+        self.right2 += seen[2] + seen[3]
+        fresh = x | 1 << 16
+        for table, at, entry, hit in ((self.order1, a, entry1, hit1), (self.order2, slot, entry2, hit2)):
+            surer = np.minimum(entry + (1 << 16), entry & 0xFFFF | 3 << 16)
+            table[at] = np.where(hit, surer, np.where(entry >= 2 << 16, entry - (1 << 16), fresh))
+
+
+def _segments(steps: int) -> Iterator[tuple[int, int]]:
+    """Steps that are coded before the model learns from them."""
+    at = 0
+    while at < steps:
+        to = min(steps, at + (1 if at < 2 else min(at, STEPS)))
+        yield at, to
+        at = to
+
+
+class _Coder:
+    """The range coders of a block's lanes. Encodes, or decodes `words` (places, lanes)."""
+
+    def __init__(self, lanes: int, steps: int, words: np.ndarray | None = None):
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+        self.place = np.zeros(lanes, np.int64)
         self.decoding = words is not None
-        if self.decoding:
-            self.words = np.concatenate([words, np.zeros((8, n), words.dtype)])
+        if words is None:
+            self.words = np.zeros((2 * steps + 2, lanes), np.int32)
+        else:
+            self.words = words
             for k in range(3):  # while decoding: the code less the low end
-                self.low = self.low << 16 | self.words[k]
+                self.low = self.low << 16 | words[k]
             self.place += 3
-        else:
-            self.words = np.zeros((1024, n), np.int32)
 
     def narrow(self, m: int, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
         """Take the part [start, start + width) of the first m lanes' ranges, in units, and shift words out or in."""
         low, span = self.low[:m], self.range[:m]
-        start *= unit
-        low += -start if self.decoding else start
+        if self.decoding:
+            low -= start * unit
+        else:
+            low += start * unit
         np.multiply(unit, width, out=span)
         short = (span < LEAST).nonzero()[0]
         while len(short):
             at = self.place[short]
+            own = low[short]
             if self.decoding:
-                low[short] = low[short] << 16 | self.words[at, short]
+                low[short] = own << 16 | self.words[at, short]
             else:
-                if at.max() >= len(self.words) - 8:
-                    self.words = np.concatenate([self.words, np.zeros_like(self.words)])
-                own = low[short]
                 self.words[at, short] = own >> 32
                 low[short] = (own & 0xFFFFFFFF) << 16
             self.place[short] = at + 1
@@ -85,80 +133,65 @@ class _Lanes:
             span[short] = wider
             short = short[wider < LEAST]
 
-    def digit(self, k: int, m: int, row: np.ndarray, guess1: np.ndarray, odds1: np.ndarray, guess2: np.ndarray, odds2: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """Code digit k of the first m lanes by the mixture of a table's row and two guesses with odds in 64ths."""
-        sums, at = self.sums[k][:m], self.at[k][:m]
-        np.take(self.digits[k], row, axis=0, out=sums, mode="clip")
-        flat = sums.ravel()
-        whole = sums[:, -1].astype(np.int64)
-        extra1 = whole * odds1 >> 6
-        extra2 = (whole + extra1) * odds2 >> 6
-        unit = self.range[:m] // (whole + extra1 + extra2)
-        if symbol is None:
-            target = self.low[:m] // unit
-            alike = guess1 == guess2
-            both = alike * extra2
-            swap = guess1 > guess2
-            guesses = np.where(swap, guess2, guess1), np.where(swap, guess1, guess2)
-            extras = np.where(swap, extra2, extra1) + both, np.where(swap, extra1, extra2) - both
-            symbol = None
-            for guess, extra in zip(guesses, extras, strict=True):  # a target beyond a guess's share moves down by it
-                end = flat[at + guess].astype(np.int64)
-                beyond = target >= end + extra
-                inside = (target >= end) & ~beyond  # in the share that the guess adds at its end
-                target = np.where(beyond, target - extra, np.where(inside, end - 1, target))
-            counted = np.bitwise_count((sums <= np.minimum(target, whole - 1).astype(np.uint16)[:, None]).view(np.uint64))
-            symbol = counted.sum(1, dtype=np.int64)
-        above = symbol > 0
-        end = at + symbol
-        start = flat[end - above] * above.astype(np.int64)
-        width = flat[end] - start
-        start += (guess1 < symbol) * extra1 + (guess2 < symbol) * extra2
-        width += (guess1 == symbol) * extra1 + (guess2 == symbol) * extra2
-        self.narrow(m, unit, start, width)
-        sums += GAINS[k][symbol]
-        self.digits[k][row] = sums
-        return symbol
-
-    def run(self, ids: np.ndarray) -> None:
-        """Code all positions; when decoding, `ids` is filled."""
-        last, before = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
-        steps = int(self.lengths.max(initial=0))
-        full = int(self.lengths.min(initial=0))
-        every = np.arange(self.n)
-        base, learnt = every * SLOTS, every * 16
-        ids = np.ascontiguousarray(ids.T) if not self.decoding else ids
-        for t in range(steps):
-            m = self.n if t < full else int((self.lengths > t).sum())  # lengths fall
-            a, b = last[:m], before[:m]
-            slot1, slot2 = base[:m] + (a * 40503 >> 5) % SLOTS, base[:m] + ((a * 48271 + b * 30269) >> 4) % SLOTS
-            entry1, entry2 = self.order1[slot1].astype(np.int64), self.order2[slot2].astype(np.int64)
-            guess1, guess2 = entry1 & 0xFFFF, entry2 & 0xFFFF
-            sure1, sure2 = entry1 >> 16, entry2 >> 16
-            alike = (guess1 == guess2) << 2
-            row1, row2 = learnt[:m] + sure1 + alike, learnt[:m] + 8 + sure2 + alike
-            right1, right2 = self.right[row1], self.right[row2]
-            odds1, odds2 = ODDS[right1 >> 8] * (guess1 != NONE), ODDS[right2 >> 8] * (guess2 != NONE)
-            own = None if self.decoding else ids[t, :m].astype(np.int64)
-            x, row, left = 0, every[:m], sum(BITS)
-            for k, bits in enumerate(BITS):
-                if k:
-                    on1, on2 = guess1 >> left == x, guess2 >> left == x
-                    odds1, odds2 = on1 * (odds1 > 0) * AFTER[k - 1], on2 * (odds2 > 0) * AFTER[k - 1]
-                    row = every[:m] * CONTEXTS[k] + (x if k == 1 else (x * 40503 >> 4) % CONTEXTS[k])
-                left -= bits
-                mask = (1 << bits) - 1
-                found = self.digit(k, m, row, guess1 >> left & mask, odds1, guess2 >> left & mask, odds2, None if own is None else own >> left & mask)
-                x = x << bits | found
-            if self.decoding:
-                ids[:m, t] = x
-            hit1, hit2 = x == guess1, x == guess2
-            self.right[row1] = right1 + ((hit1 * 65535 - right1) >> 4)
-            self.right[row2] = right2 + ((hit2 * 65535 - right2) >> 4)
-            self.order1[slot1] = np.where(hit1, guess1 | np.minimum(sure1 + 1, 3) << 16, np.where(sure1 > 0, guess1 | (sure1 - 1) << 16, x))
-            self.order2[slot2] = np.where(hit2, guess2 | np.minimum(sure2 + 1, 3) << 16, np.where(sure2 > 0, guess2 | (sure2 - 1) << 16, x))
-            before[:m] = a
-            last[:m] = x
+
+def _parts(n: int) -> tuple[int, int, int]:
+    """Lanes of a block of n ids, their ids, and how many lanes have one more."""
+    lanes = min(LANES, max(1, n // LANE))
+    return lanes, n // lanes, n % lanes
+
+
+def _run(n: int, ids: np.ndarray | None, words: np.ndarray | None) -> tuple[np.ndarray, _Coder]:
+    """Code a block: its ids given, or decoded from words. The ids, and the coder."""
+    lanes, steps, more = _parts(n)
+    past = np.zeros((steps + 3, lanes), np.int32)  # two rows of nothing before, one row of the lanes that have one more
+    if ids is not None:
+        past[2:, :more] = ids[: more * (steps + 1)].reshape(more, steps + 1).T
+        past[2 : steps + 2, more:] = ids[more * (steps + 1) :].reshape(lanes - more, steps).T
+    model, coder, counted = _Model(), _Coder(lanes, steps + 1, words), 0
+    symbols = None
+    for at, to in [*_segments(steps), *([(steps, steps + 1)] if more else [])]:
+        if at and at & (at - 1) == 0 and at < steps:
+            model.counts += np.bincount(past[counted + 2 : at + 2].ravel(), minlength=1 << 16)
+            counted, symbols = at, None
+            model.weigh()
+            model.mix()
+        m = more if at == steps else lanes
+        if words is None:
+            x = past[at + 2 : to + 2, :m]
+            found = model.guesses(past[at + 1 : to + 1, :m], past[at:to, :m])
+            guess1, guess2, kind = found[3:]
+            extra1, extra2 = model.extra1.take(kind), model.extra2.take(kind)
+            whole = extra1 + extra2 + model.whole
+            start = model.starts.take(x) + (guess1 < x) * extra1 + (guess2 < x) * extra2
+            width = model.shares.take(x) + (guess1 == x) * extra1 + (guess2 == x) * extra2
+            for k in range(to - at):
+                coder.narrow(m, coder.range[:m] // whole[k], start[k], width[k])
+        else:
+            if symbols is None:
+                symbols = np.repeat(np.arange(1 << 16, dtype=np.uint16), model.shares)
+            each = []
+            for t in range(at, to):
+                each.append(model.guesses(past[t + 1, :m], past[t, :m]))
+                guess1, guess2, kind = each[-1][3:]
+                extra1, extra2 = model.extra1.take(kind), model.extra2.take(kind)
+                whole = extra1 + extra2 + model.whole
+                unit = coder.range[:m] // whole
+                target = np.minimum(coder.low[:m] // unit, whole - 1)
+                # what lies in a guess's share moves to the last place of its id, what lies beyond down by the share
+                target -= np.clip(target - model.ends.take(guess2) - (guess1 < guess2) * extra1 + 1, 0, extra2)
+                target -= np.clip(target - model.ends.take(guess1) + 1, 0, extra1)
+                x = symbols.take(target).astype(np.int32)
+                start = model.starts.take(x) + (guess1 < x) * extra1 + (guess2 < x) * extra2
+                width = model.shares.take(x) + (guess1 == x) * extra1 + (guess2 == x) * extra2
+                coder.narrow(m, unit, start, width)
+                past[t + 2, :m] = x
+            found = tuple(map(np.concatenate, zip(*each, strict=True)))
+        if to < steps:
+            model.learn(past[at + 2 : to + 2].ravel(), past[at + 1 : to + 1].ravel(), tuple(part.ravel() for part in found))
+            model.mix()
+    if ids is None:
+        ids = np.concatenate([past[2:, :more].T.ravel(), past[2 : steps + 2, more:].T.ravel()])
+    return ids, coder
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
@@ -166,52 +199,42 @@ def encode(ids: np.ndarray) -> list[bytes]:
     ids = np.asarray(ids)
     if len(ids) and (ids.min() < 0 or ids.max() >= NONE):
         raise ValueError("ids must be 0 to 65534")
-    lengths = np.diff(np.append(np.arange(0, len(ids), BLOCK), len(ids)))
-    square = np.zeros((len(lengths), BLOCK), np.int32)
-    square.ravel()[: len(ids)] = ids
-    lanes = _Lanes(lengths)
-    lanes.run(square)
-    every = np.arange(lanes.n)
-    for _ in range(3):  # what is left of the low end
-        if lanes.n and lanes.place.max() >= len(lanes.words) - 1:
-            lanes.words = np.concatenate([lanes.words, np.zeros_like(lanes.words)])
-        lanes.words[lanes.place, every] = lanes.low >> 32
-        lanes.low = (lanes.low & 0xFFFFFFFF) << 16
-        lanes.place += 1
-    for k in range(int(lanes.place.max(initial=0)), 0, -1):  # carries, from the end
-        lanes.words[k - 1] += lanes.words[k] >> 16
-    words = np.ascontiguousarray(lanes.words.T.astype("<u2"))
     out = []
-    for n, count, block, row in zip(lengths.tolist(), lanes.place.tolist(), square, words, strict=True):
-        body = row[:count].tobytes()
-        out.append(HEAD.pack(MAGIC, n, count, zlib.crc32(block[:n].astype("<u4").tobytes()), zlib.crc32(body)) + body)
+    for at in range(0, len(ids), BLOCK):
+        own = np.ascontiguousarray(ids[at : at + BLOCK], np.int32)
+        _, coder = _run(len(own), own, None)
+        coder.words[coder.place, np.arange(len(coder.low))] = (coder.low + LEAST - 1) >> 32  # zeros after it are in the range
+        coder.place += 1
+        most = int(coder.place.max())
+        for k in range(most - 1, 0, -1):  # carries, from the end
+            coder.words[k - 1] += coder.words[k] >> 16
+        words = coder.words[:most].T.astype("<u2")
+        stored = np.concatenate([coder.place.astype("<u2"), words[np.arange(most) < coder.place[:, None]]])
+        body = stored.tobytes()
+        out.append(HEAD.pack(MAGIC, len(own), len(stored), zlib.crc32(own.astype("<u4").tobytes()), zlib.crc32(body)) + body)
     return out
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of blocks joined; ValueError where a block is damaged."""
-    heads, bodies, at = [], [], 0
+    out, at = [np.zeros(0, np.int32)], 0
     while at < len(data):
         if len(data) - at < HEAD.size:
             raise ValueError("a block is cut off")
         magic, n, count, ids_crc, crc = HEAD.unpack_from(data, at)
         body = data[at + HEAD.size : at + HEAD.size + 2 * count]
-        if magic != MAGIC or n > BLOCK or len(body) != 2 * count or zlib.crc32(body) != crc:
+        lanes = _parts(n)[0] if n else 0
+        if magic != MAGIC or not 0 < n <= BLOCK or len(body) != 2 * count or zlib.crc32(body) != crc or count < lanes:
             raise ValueError(f"the block at byte {at} is damaged")
-        heads.append((n, ids_crc))
-        bodies.append(np.frombuffer(body, "<u2"))
-        at += HEAD.size + 2 * count
-    lengths = np.array([n for n, _ in heads], np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    words = np.zeros((max(map(len, bodies), default=3), len(bodies)), np.int32)
-    for lane, k in enumerate(order):
-        words[: len(bodies[k]), lane] = bodies[k]
-    square = np.zeros((len(bodies), BLOCK), np.int32)
-    _Lanes(lengths[order], words).run(square)
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(bodies)
-    for lane, k in enumerate(order):
-        n, ids_crc = heads[k]
-        out[k] = square[lane, :n]
-        if zlib.crc32(out[k].astype("<u4").tobytes()) != ids_crc:
+        stored = np.frombuffer(body, "<u2")
+        held = stored[:lanes].astype(np.int64)
+        if held.sum() != count - lanes:
+            raise ValueError(f"the block at byte {at} is damaged")
+        words = np.zeros((lanes, 2 * (n // lanes) + 12), np.int32)
+        words[np.arange(words.shape[1]) < held[:, None]] = stored[lanes:]
+        ids, _ = _run(n, None, np.ascontiguousarray(words.T))
+        if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
             raise ValueError("the ids of a block don't match their checksum")
-    return np.concatenate([*out, np.zeros(0, np.int32)])
+        out.append(ids)
+        at += HEAD.size + 2 * count
+    return np.concatenate(out)

@@ -22,6 +22,8 @@ from .idcoder import decode, encode
 from .tokenizer import library_ids
 
 ROW_IDS = 4 << 20
+#: Segments that a worker remembers the ids of.
+REMEMBERED = 900_000
 
 
 def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", row_ids: int = ROW_IDS) -> None:
@@ -33,7 +35,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, id_c
     kind = documents.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part, row = library_ids(tokenizer), TaskContext.get().partitionId(), 0
+        memo, part, row = library_ids(tokenizer, REMEMBERED), TaskContext.get().partitionId(), 0
         docs: list[pa.Array] = []
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []

@@ -23,19 +23,19 @@ def _tokenizer(path: str):
 
 
 @functools.lru_cache(2)
-def token_memo(path: str) -> Memo:
+def token_memo(path: str, most: int = 300_000) -> Memo:
     """Texts to ids, without special tokens; the strings of special tokens in a text are ordinary text."""
     tokenizer = _tokenizer(path)
-    return Memo(lambda texts: [found.ids for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    return Memo(lambda texts: [found.ids for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], most)
 
 
 @functools.lru_cache(2)
-def library_ids(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def library_ids(path: str, most: int = 300_000) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Texts to the ids that the library gives with add_special_tokens=False, called like a `Memo`.
 
     Texts with the literal of an added token (in any case, as a normaliser may lower it) are encoded whole by the library.
     """
-    memo, library = token_memo(path), _tokenizer(path)
+    memo, library = token_memo(path, most), _tokenizer(path)
     literals = {token.content.encode().lower() for token in library.get_added_tokens_decoder().values()}
 
     def encode(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

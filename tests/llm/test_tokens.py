@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tapelight.llm import byte_bpe, idcoder, packing, token_file
-from tapelight.llm.arrowtext import segments, slices, utf8, words
+from tapelight.llm.arrowtext import Memo, segments, slices, utf8, words
 from tapelight.llm.scratch import folder
 from tapelight.llm.tokenizer import library_ids, token_memo
 
@@ -68,6 +68,28 @@ def test_repetition_is_coded_small():
     assert sum(map(len, idcoder.encode(ids))) < len(ids) / 4
 
 
+def test_a_block_learns_from_all_its_ids():
+    ids = np.tile(np.arange(50), 400)
+    assert sum(map(len, idcoder.encode(ids))) < len(ids) / 16  # blocks of 1,024 ids learnt twenty times
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 511, 513, 70_000])
+def test_lanes_of_any_length(n):
+    ids = np.random.default_rng(n).zipf(1.3, n) % 65535
+    assert idcoder.decode(b"".join(idcoder.encode(ids))).tolist() == ids.tolist()
+
+
+def test_memo_keeps_what_comes_again():
+    asked = []
+    memo = Memo(lambda texts: (asked.extend(texts), [[len(t), 7] for t in texts])[1], most=8)
+    for k in range(20):
+        texts = ["often", "again", f"once{k}", f"another{k}"]
+        ids, at = memo(*utf8(pa.array(texts)))
+        assert ids.tolist() == [x for t in texts for x in (len(t), 7)] and at.tolist() == [0, 2, 4, 6, 8]
+        assert len(memo.rows) <= 8 + 4
+    assert asked.count("often") == asked.count("again") == 1
+
+
 def test_words_and_segments_cover_texts():
     texts = ["", " a  b\n", "é,x", None, "don't stop", "x\u00a0 y"]
     batch = next(slices([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
