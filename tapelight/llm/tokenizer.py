@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Callable
 
 import numpy as np
 
-from .arrowtext import Memo
+from .arrowtext import WHITE, Memo
+
+#: A normaliser behind which neither the case of letters nor the kind of white space makes a difference.
+FOLDING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+FOLDED[WHITE] = 32
 
 
 @functools.lru_cache(2)
@@ -22,11 +29,21 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """ASCII letters in lower case and ASCII white space as spaces, but before a byte beyond ASCII: NFC joins some marks to small letters alone."""
+    out = FOLDED[data]
+    before = np.flatnonzero(data[1:] >= 128)
+    out[before] = data[before]
+    return out
+
+
 @functools.lru_cache(2)
 def token_memo(path: str, most: int = 300_000) -> Memo:
     """Texts to ids, without special tokens; the strings of special tokens in a text are ordinary text."""
     tokenizer = _tokenizer(path)
-    return Memo(lambda texts: [found.ids for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], most)
+    normal = tokenizer.normalizer
+    folds = normal is not None and json.loads(normal.__getstate__()) == FOLDING
+    return Memo(lambda texts: [found.ids for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], most, folded if folds else None)
 
 
 @functools.lru_cache(2)

@@ -90,6 +90,18 @@ def test_memo_keeps_what_comes_again():
     assert asked.count("often") == asked.count("again") == 1
 
 
+def test_case_and_white_space_need_no_segments_of_their_own():
+    """Where the normaliser takes them away, but for letters that NFC joins to a mark in lower case alone."""
+    name = public_tokenizers.path("word_bpe_49k.json")
+    memo = Memo(token_memo(name).encode, fold=token_memo(name).fold)
+    plain = Tokenizer.from_file(name)
+    for first, texts in ((4, [" word and Word\nWORD\tAnd", "x\rx"]), (0, ["J\u030c j\u030c H\u0331 h\u0331 I\u0307 i\u0307", "\u0130\u212a K", "A", "\u0301", "DON'T\x0bStop \x1cX", "THE<|EndOfText|>END \u0301\n\u0301"])):
+        ids, at = memo(*utf8(pa.array(texts, pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert not first or len(memo.rows) == first  # " word", " and", "x", " x"
+    assert token_memo(public_tokenizers.path("byte_bpe_50k.json")).fold is None
+
+
 def test_words_and_segments_cover_texts():
     texts = ["", " a  b\n", "é,x", None, "don't stop", "x\u00a0 y"]
     batch = next(slices([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
