@@ -219,6 +219,20 @@ def test_similar_lines_meet(spark, least, most):
     assert sum(group[a] != group[b] for a, b in wanted) <= len(missed)
 
 
+def test_substrings_of_all_places_can_be_keys(spark, monkeypatch):
+    """At every place of a line, also around line separators of Unicode and where a stretch ends; equal substrings alone have one hash."""
+    monkeypatch.setattr(line_dedup, "GRAMS", 1 << 20)  # all are chosen
+    rng = random.Random(6)
+    long = words(rng, 60)
+    texts = [long[:n] + "x" for n in range(70, 70 + line_dedup.STRETCH + 1)] + [long[:90] + "\u2028" + long[90:200], long[:50] + " \U00020000\u4e00 " + long[50:150]]
+    units = spark.createDataFrame(list(enumerate(texts)), "id long, normal string").selectExpr("id", "normal", "length(normal) AS size", "size(split(normal, ' ')) AS words", "array(0L) AS lanes")
+    rows = line_dedup._substring_keys(units).collect()
+    found = {(r.id, r.place): r.gram for r in rows}
+    wanted = {(i, k + 1): text[k : k + line_dedup.LETTERS] for i, text in enumerate(texts) for k in range(len(text) - line_dedup.LETTERS + 1)}
+    assert len(rows) == len(found) and found.keys() == wanted.keys() and all(r.size == len(texts[r.id]) for r in rows)
+    assert len(set(found.values())) == len(set(wanted.values())) == len({(found[k], wanted[k]) for k in wanted})
+
+
 def test_recall_of_edited_lines(spark):
     """Edits of 5% and 9% of the characters, spread evenly (one in every second word, or in every one) or at random, in short and long words."""
     rng = random.Random(31)
