@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+#: New segments that a memo encodes in one call: a library's results take some hundred bytes for each until they are stored.
+ENCODED = 4096
 #: ASCII white space: 0x09-0x0D and the space.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -125,7 +127,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Memo:
     """Token ids of segments. Each distinct segment is encoded once and then looked up.
 
-    `encode` takes a list of strings and returns a list of id lists. Beyond `most` segments the memo forgets those that
+    `encode` takes a list of at most ENCODED strings and returns a list of id lists. Beyond `most` segments the memo forgets those that
     one call alone has had (all, if others are more than half), so memory stays bounded whatever the vocabulary of the input.
     `fold` may change bytes for others, one for one, that make no difference to the ids or to where segments begin.
     """
@@ -170,8 +172,9 @@ class Memo:
         keys = distinct.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes ten times as long
         rows = np.fromiter(map(self.rows.get, keys, repeat(-1)), np.int64, len(keys))
         self.again[rows[rows >= 0]] = True
-        if len(new := np.flatnonzero(rows < 0)):
-            known = len(self.rows)
+        missing = np.flatnonzero(rows < 0)
+        for a in range(0, len(missing), ENCODED):
+            new, known = missing[a : a + ENCODED], len(self.rows)
             fresh = [keys[i] for i in new]
             ids = self.encode([k.decode() for k in fresh])
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))

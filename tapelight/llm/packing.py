@@ -28,6 +28,8 @@ from .tokenizer import library_ids
 
 CAPACITY = 2048
 BLOCK = 8192
+#: Text bytes that are encoded at a time: a worker holds several times their ids beside the tokenizer and its memo.
+SLICE = 1 << 20
 #: More rounds and levels save few sequences for much time: see the README.
 ROUNDS, LEVELS = 4, 1
 
@@ -41,7 +43,7 @@ def cut_pieces(documents: DataFrame, path: str, end_id: int, capacity: int = CAP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = library_ids(path)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             flat, at = memo(*utf8(batch.column("text")))
             flat = flat.astype("<u4")
             rows: list[tuple] = []

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tapelight.llm import byte_bpe, idcoder, packing, token_file
-from tapelight.llm.arrowtext import Memo, segments, slices, utf8, words
+from tapelight.llm.arrowtext import ENCODED, Memo, segments, slices, utf8, words
 from tapelight.llm.scratch import folder
 from tapelight.llm.tokenizer import library_ids, token_memo
 
@@ -90,6 +90,16 @@ def test_memo_keeps_what_comes_again():
     assert asked.count("often") == asked.count("again") == 1
 
 
+def test_memo_encodes_few_segments_at_once():
+    sizes = []
+    memo = Memo(lambda texts: (sizes.append(len(texts)), [[int(t)] for t in texts])[1])
+    numbers = [*range(3 * ENCODED), 5, 2 * ENCODED]
+    for _ in range(2):
+        ids, at = memo(*utf8(pa.array(map(str, numbers))))
+        assert ids.tolist() == numbers and at.tolist() == list(range(len(numbers) + 1))
+    assert sum(sizes) == 3 * ENCODED and max(sizes) <= ENCODED
+
+
 def test_case_and_white_space_need_no_segments_of_their_own():
     """Where the normaliser takes them away, but for letters that NFC joins to a mark in lower case alone."""
     name = public_tokenizers.path("word_bpe_49k.json")
