@@ -56,6 +56,14 @@ def remainder(id_column: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).cast("binary")) % by
 
 
+def spellings(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes ten times as long
+
+
+def hashed(spelled: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, spelled), np.uint64, len(spelled))
+
+
 def rare_classes(words: pa.Array) -> np.ndarray:
     """Of words (binary): by the last two bytes, punctuation aside, and whether there is some."""
     bare = pc.utf8_rtrim(words.cast(pa.string()), characters=".,;:!?\"')").cast(pa.binary())
@@ -79,6 +87,11 @@ class Vocabulary:
     of_rare: np.ndarray
 
     def __post_init__(self) -> None:
+        hashes = hashed(spellings(self.words))
+        #: The hashes of the known words in rising order, and whose they are.
+        self.by_hash = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.by_hash]
+        self.alone = bool((self.hashes[1:] != self.hashes[:-1]).all())
         top = min(TOP - 1, len(self.words))
         self.top = top
         #: The number of the outcome of each known word; -1 for those in rare classes. The end is the last outcome.
@@ -94,6 +107,18 @@ class Vocabulary:
             self.class_bias = np.maximum(np.log(classes / classes.sum()), NEVER).astype(np.float32)
             self.word_bias = np.maximum(np.log(grouped / np.maximum(grouped.sum(1, keepdims=True), 1e-300)), NEVER).astype(np.float32)
 
+    def places(self, distinct: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word (with its hash) among the known ones, -1 for the others. Hashes find it, spellings decide."""
+        if not len(self.words) or not self.alone:  # two known words of one hash
+            return pc.index_in(distinct.cast(self.words.type), value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        own = np.flatnonzero(self.hashes[at] == hashes)
+        place = self.by_hash[at[own]].astype(np.int64)
+        same = pc.equal(distinct.take(pa.array(own)).cast(self.words.type), self.words.take(pa.array(place))).to_numpy(zero_copy_only=False)
+        known = np.full(len(hashes), -1)
+        known[own[same]] = place[same]
+        return known
+
 
 @dataclass
 class Tokens:
@@ -113,16 +138,15 @@ def tokens(texts: pa.Array, vocabulary: Vocabulary) -> Tokens:
     data = CAPITALS[data]
     starts, ends, first = words(data, at)
     codes, distinct = dictionary(data, starts, ends)
-    spelled = distinct.to_pylist()
     # The end is one more distinct token; its hash is never used, since nothing follows it.
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in spelled), np.uint64, len(spelled))
-    known = pc.index_in(distinct.cast(vocabulary.words.type), value_set=vocabulary.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = hashed(spellings(distinct))
+    known = vocabulary.places(distinct, hashes)
     outcome = np.append(np.where(known >= 0, vocabulary.outcome[known] if len(vocabulary.outcome) else -1, -1), TOP - 1)
     classes = np.where(outcome >= 0, outcome // WIDE, TOP // WIDE + np.append(rare_classes(distinct), 0))
 
     counts = np.diff(first) + 1
     text = np.repeat(np.arange(len(counts)), counts)
-    code = np.full(len(text), len(spelled))
+    code = np.full(len(text), len(distinct))
     last = np.cumsum(counts) - 1
     inside = np.ones(len(text), bool)
     inside[last] = False
@@ -173,14 +197,14 @@ class Model:
         """The logarithm of the probability of each token's outcome."""
         sums = cls.sums(weights, rows, bias)
         own = sums[np.arange(len(sums)), outcome].astype(float)
-        return own - np.log(np.exp(sums, out=sums).sum(1))
+        return own - np.log(np.exp(sums, out=sums) @ np.ones(sums.shape[1], np.float32))
 
     @classmethod
     def errors(cls, weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, outcome: np.ndarray) -> np.ndarray:
         """The probabilities of all outcomes, less 1 for the one that came: the gradient of each token's rows."""
         sums = cls.sums(weights, rows, bias)
         np.exp(sums, out=sums)
-        sums /= sums.sum(1, keepdims=True)
+        sums /= (sums @ np.ones(sums.shape[1], np.float32))[:, None]
         sums[np.arange(len(sums)), outcome] -= 1
         return sums
 
@@ -224,10 +248,10 @@ class Model:
         flat, token = rows.ravel()[order], order // rows.shape[1]
         starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
         counts = np.diff(np.append(starts, len(flat)))
-        by = np.argsort(-counts, kind="stable")
+        by = np.argsort(-counts.astype(np.int16), kind="stable")
         starts, counts = starts[by], counts[by]
-        gradient, left, turn = np.take(error, token[starts], axis=0), len(starts), 1
-        while (left := int(np.searchsorted(-counts[:left], -turn))) >= FEW:
+        gradient, left, turn, falling = np.take(error, token[starts], axis=0), len(starts), 1, -counts
+        while (left := int(np.searchsorted(falling[:left], -turn))) >= FEW:
             gradient[:left] += np.take(error, token[starts[:left] + turn], axis=0)
             turn += 1
         for i in range(left):
@@ -235,7 +259,9 @@ class Model:
         at = flat[starts]
         squares[at] += np.einsum("ij,ij->i", gradient, gradient)
         gradient *= (rate / np.sqrt(squares[at]))[:, None]
-        weights[at] -= gradient
+        np.subtract(np.take(weights, at, axis=0), gradient, out=gradient)
+        whole = np.dtype((np.void, gradient.itemsize * gradient.shape[1]))  # rows are copied faster as one item each
+        weights.view(whole).ravel()[at] = gradient.view(whole).ravel()
 
 
 def count_words(texts: DataFrame) -> DataFrame:

@@ -111,6 +111,29 @@ def unigram(found):
     return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found), key=repr)
 
 
+def test_known_words_are_found_without_a_table_of_all(monkeypatch):
+    known = [b"the", b"of", "\u00e9t\u00e9".encode(), b"and,", *(b"w%d" % i for i in range(2000))]
+    asked = pa.array([b"of", b"w1999", b"w2000", b"", "\u00e9t\u00e9".encode(), b"The", b"w0"], pa.binary())
+    expected = [1, 2003, -1, -1, 2, -1, 4]
+
+    def vocabulary(words):
+        return maxent.Vocabulary(pa.array(words, pa.binary()), np.arange(len(words), 0, -1), 5, 100, len(words) + 1, np.zeros(maxent.RARE), np.zeros(maxent.RARE))
+
+    def places(v):
+        return v.places(asked, maxent.hashed(maxent.spellings(asked))).tolist()
+
+    assert places(vocabulary([])) == [-1] * len(asked)
+    table, found = maxent.pc.index_in, vocabulary(known)
+    monkeypatch.setattr(maxent.pc, "index_in", lambda *a, **k: pytest.fail("a table of all known words"))
+    assert places(found) == expected and maxent.tokens(pa.array(["The w7 new"]), found).known.tolist() == [0, 11, -1, -2]
+    # where words have the hash of others, their spelling decides
+    monkeypatch.setattr(maxent.xxhash, "xxh64_intdigest", lambda w: 3 if w in (b"w2000", b"w1999") else len(w) * 1000 + sum(w) * 100000 + int.from_bytes(w[-4:]) * 10**9)
+    assert places(vocabulary(known)) == expected
+    monkeypatch.setattr(maxent.pc, "index_in", table)
+    monkeypatch.setattr(maxent.xxhash, "xxh64_intdigest", len)
+    assert places(vocabulary(known)) == expected
+
+
 @pytest.mark.parametrize("known", [maxent.KNOWN, 40, 0])
 def test_language_model_counts(spark, monkeypatch, known):
     """The same however many words go to the tasks: all, some or none."""
