@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sessions
@@ -44,8 +44,14 @@ def query(sql: str | None = None):
 
 
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded; -0.0 becomes 0.0."""
-    return frame.select(*((F.round(c, digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in frame.dtypes))
+    """Doubles rounded as DuckDB does, which scales before it decides on halves; -0.0 becomes 0.0."""
+    scale = F.lit(10.0**digits)
+
+    def near(c: str) -> Column:
+        scaled = F.col(c) * scale  # of a double whose product is no double any more nothing can be rounded
+        return F.when(F.abs(scaled) == float("inf"), F.col(c)).otherwise(F.round(scaled) / scale) + 0.0
+
+    return frame.select(*(near(c).alias(c) if kind == "double" else F.col(c) for c, kind in frame.dtypes))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tapelight.functions import frames, sessions
 from tapelight.operators import bars, book, carried, filters, folds, joins, reports, rolling
+from tapelight.plans import catalog
 from tapelight.sources import ticks as sources
 from tapelight.streaming import live
 
@@ -182,6 +183,16 @@ def test_backruns_from_a_price_of_zero(spark):
     assert [(r.trade_id, str(r.up), r.after) for r in found] == [(2, "inf", 1), (5, "nan", 2), (6, "inf", 1)]
 
 
+def test_doubles_are_scaled_before_they_are_rounded(spark):
+    """As in DuckDB: 9.63 / 6.4 - 1 is 0.5046875, which times 10^6 is just below a half."""
+    t = tick_rows(spark, [(p, 1, i) for i, p in enumerate([6.4, 9.63, 9.0, 6.4, 12.91, 12.0])])
+    assert [r.up for r in catalog.rounded(rolling.patterns(t, 0.5)).orderBy("trade_id").collect()] == [0.504687, 1.017187]
+    odd = spark.createDataFrame([(x,) for x in (None, float("nan"), float("inf"), float("-inf"), 1e305, -1e-9, -2.5e-6)], "x double")
+    found = [r.x for r in catalog.rounded(odd).collect()]
+    assert found[0] is None and math.isnan(found[1]) and found[2:] == [float("inf"), float("-inf"), 1e305, 0.0, -3e-6] and math.copysign(1, found[5]) == 1
+    assert [r.x for r in catalog.rounded(spark.createDataFrame([(1.005,), (2.675,), (-1.005,)], "x double"), 2).collect()] == [1.0, 2.68, -1.0]
+
+
 def test_microstructure_beside_a_price_of_zero(spark):
     t = tick_rows(spark, [(p, 2, i) for i, p in enumerate([4, 5, 4, 0, 4, 5, 5, 5, 5, 5])])
     found = {r.trade_id: r for r in rolling.microstructure(t, 3).collect()}
