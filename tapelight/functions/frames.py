@@ -42,11 +42,6 @@ def quotient(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
 
 
-def logarithm(x: Column) -> Column:
-    """ln x as in DuckDB and IEEE 754: minus infinity for 0, NaN below."""
-    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.log(x))
-
-
 def zscore(x: str | Column, frame: WindowSpec, sample: bool = False, flat: float = 1e-12) -> Column:
     """(x - mean) / deviation over the frame; 0 where the deviation is (nearly) 0."""
     x = F.col(x) if isinstance(x, str) else x

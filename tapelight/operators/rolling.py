@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..functions.frames import full, last_rows, logarithm, ordered, prior_rows, quotient, ratio, so_far, zscore
+from ..functions.frames import full, last_rows, ordered, prior_rows, quotient, ratio, so_far, zscore
+from .carried import carried
+from .framed import trade_statistics
 
 
 def trailing(rows: DataFrame, ms: int, of: dict[str, tuple[str, str]], key=("symbol",), time: str = "ts_ms") -> DataFrame:
@@ -103,21 +105,24 @@ def microstructure(ticks: DataFrame, n: int) -> DataFrame:
     """Roll spread, bid-ask bounce, Kyle's lambda and Amihud illiquidity over the last n ticks; null until n differences.
 
     A return to or from a price of 0 is infinite, and so is the illiquidity of its frames. Where prices don't move the
-    bounce is 1, where the flow doesn't change lambda is NaN. Ticks without a quantity have no illiquidity.
+    bounce is 1, where the flow doesn't change lambda is NaN. Ticks without a quantity have no illiquidity. Sums are in
+    DuckDB's order (framed.py), since a lambda may lie at a half of the digit it is rounded to.
     """
-    by = ordered()
-    d = ticks.withColumn("dp", F.col("price") - F.lag("price").over(by)).withColumn("ret", F.abs(logarithm(quotient(F.col("price"), F.lag("price").over(by)))))
-    d = d.withColumn("before", F.lag("dp").over(by)).withColumn("flow", F.col("side") * F.col("quantity")).withColumn("illiquid", ratio("ret", "quantity"))
-    frame = last_rows(n)
-    ready = F.count("before").over(frame) >= n
-    covariance, variance = F.covar_pop("dp", "before").over(frame), F.var_pop("dp").over(frame)
-    slope = F.coalesce(F.regr_slope("dp", "flow").over(frame), F.when(F.regr_count("dp", "flow").over(frame) > 0, float("nan")))
+    flow = F.col("side") * F.col("quantity")
+    known = {"has_price": F.col("price").isNotNull(), "has_flow": flow.isNotNull(), "has_quantity": F.coalesce(F.col("quantity") != 0, F.lit(False))}
+    given = ticks.select("symbol", "trade_id", "ts_ms", "price", "quantity", flow.alias("flow"), *(has.alias(name) for name, has in known.items()))
+    columns = ("moved", "flows", "illiquids", "covariance", "variance", "flow_covariance", "flow_variance", "amihud")
+    d = carried(given, ", ".join(f"{c} double" for c in columns), trade_statistics(n), keep=("trade_id",))
+    nan = F.lit(float("nan"))
+    covariance, variance = (F.coalesce(c, nan) for c in ("covariance", "variance"))
+    slope = F.when(F.col("flows") > 0, F.when(F.col("flow_variance") == 0, nan).otherwise(F.coalesce(F.try_divide("flow_covariance", "flow_variance"), nan)))
+    ready = F.col("moved") >= n
     return d.select(
         "symbol", "trade_id",
         F.when(ready, 2 * F.sqrt(F.greatest(-covariance, F.lit(0.0)))).alias("roll_spread"),
         F.when(ready, F.least(F.greatest(-quotient(covariance, variance), F.lit(0.0)), F.lit(1.0))).alias("bounce"),
         F.when(ready, slope).alias("kyle_lambda"),
-        F.when(ready, F.avg("illiquid").over(frame)).alias("amihud"),
+        F.when(ready & (F.col("illiquids") > 0), F.coalesce("amihud", nan)).alias("amihud"),
     )
 
 

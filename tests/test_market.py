@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tapelight.functions import frames, sessions
-from tapelight.operators import bars, book, carried, filters, folds, joins, reports, rolling
+from tapelight.operators import bars, book, carried, filters, folds, framed, joins, reports, rolling
 from tapelight.plans import catalog
 from tapelight.sources import ticks as sources
 from tapelight.streaming import live
@@ -201,6 +201,64 @@ def test_microstructure_beside_a_price_of_zero(spark):
     assert found[9].bounce == 1.0 and found[9].amihud == 0.0
 
 
+def test_frames_are_added_up_as_in_duckdb(spark):
+    """Bit by bit against plain loops: rows before the first whole block, whole blocks, rows after them."""
+    rng = random.Random(11)
+    known = [(rng.choice([None, 1.5, 2.25, rng.random()]), rng.choice([None, 1.0, rng.random()])) for _ in range(150)]
+
+    def covariance(s, y, x):
+        n, mx, my, c = s
+        dx, dy = x - mx, y - my
+        my += dy / (n + 1)
+        return n + 1, mx + dx / (n + 1), my, math.fma(dx, y - my, c)
+
+    def joined(s, o):
+        if not s[0] or not o[0]:
+            return s if s[0] else o
+        n = s[0] + o[0]
+        return n, (o[0] * o[1] + s[0] * s[1]) / n, (o[0] * o[2] + s[0] * s[2]) / n, o[3] + s[3] + (s[1] - o[1]) * (s[2] - o[2]) * o[0] * s[0] / n
+
+    def rows(s, since, until):
+        for y, x in known[since:until]:
+            s = covariance(s, y, x) if y is not None and x is not None else s
+        return s
+
+    has = framed.np.array([None not in pair for pair in known])
+    y, x = (framed.np.array([pair[i] or 0.0 for pair in known]) for i in (0, 1))
+    for n in (3, 16, 50):
+        found = framed.over_frames(framed.COVARIANCE, has, (y, x), framed.np.arange(len(known) - n + 1), n)
+        for i in range(len(known) - n + 1):
+            begin, end = -(-i // 16), (i + n) // 16
+            if i // 16 == end:
+                wanted = rows((0, 0.0, 0.0, 0.0), i, i + n)
+            else:
+                wanted = rows((0, 0.0, 0.0, 0.0), i, begin * 16)
+                for b in range(begin, end):
+                    wanted = joined(wanted, rows((0, 0.0, 0.0, 0.0), b * 16, b * 16 + 16))
+                wanted = rows(wanted, end * 16, i + n)
+            assert tuple(f[i] for f in found) == wanted
+    a, b, c = (framed.np.array([rng.uniform(-1, 1) * 2.0 ** rng.randint(-40, 40) for _ in range(20000)]) for _ in range(3))
+    c[::2] = -(a * b)[::2] * (1 + framed.np.array([rng.choice([0, 1e-16, 1e-9]) for _ in range(10000)]))
+    assert [math.fma(*p) for p in zip(a.tolist(), b.tolist(), c.tolist(), strict=True)] == framed.fma(a, b, c).tolist()
+    with framed.np.errstate(all="ignore"):
+        assert framed.fma(*(framed.np.array([v]) for v in (math.inf, 1.0, 1.0))).tolist() == [math.inf]
+
+
+def test_slopes_at_a_half_are_those_of_the_sql(spark, tmp_path):
+    """Each event 60 times with ids of its own: prices stand still for 60 ticks, and many slopes lie at a half of the fourth digit."""
+    duckdb = pytest.importorskip("duckdb")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id < 500")
+    copies = events.crossJoin(spark.range(60).withColumnRenamed("id", "copy")).withColumn("event_id", F.col("event_id") + 1000 * F.col("copy"))
+    copies.drop("copy").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    rows = {(r.symbol, r.trade_id): tuple(r)[2:] for r in catalog.microstructure(spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    wanted = {r[:2]: r[2:] for r in c.sql(catalog.SQL["microstructure"]).fetchall()}
+    assert len(wanted) == len(rows) == 30000
+    plain = lambda values: repr([v if v is None else v + 0.0 for v in values])  # noqa: E731  NaN as itself, -0.0 as 0.0
+    assert [k for k, v in wanted.items() if plain(v) != plain(rows[k])] == []
+
+
 def test_trailing_intervals_against_a_plain_loop(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, *range(-25, 60)]), rng.choice([None, 0.0, 1.5, 4.0])) for i in range(300)]
