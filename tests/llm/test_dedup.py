@@ -233,6 +233,26 @@ def test_substrings_of_all_places_can_be_keys(spark, monkeypatch):
     assert len(set(found.values())) == len(set(wanted.values())) == len({(found[k], wanted[k]) for k in wanted})
 
 
+def test_letters_rule_out_no_line_within_the_distance(spark):
+    """Against the counts of characters in plain Python: what one line has more than the other, up to 127 of each."""
+    rng = random.Random(8)
+    texts = [words(rng, rng.randint(1, 90)) for _ in range(25)] + ["e" * 300 + " a", "e" * 120 + "t" * 128, "\u4e00\u00e9 u\U00020000", "x", "u" * 127]
+    texts += ["".join(c for c in t if rng.random() > 0.1) for t in texts]
+    lines = line_dedup.letter_counts(spark.createDataFrame(list(enumerate(texts)), "id long, normal string"))
+    x, y = lines.toDF("a", "x"), lines.toDF("b", "y")
+    for percent in (90, 70):
+        found = {(r.a, r.b): r.near for r in x.crossJoin(y).select("a", "b", line_dedup.near_by_letters(percent)(F.col("x"), F.col("y")).alias("near")).collect()}
+
+        def counts(text):
+            own = [text.count(c) for c in line_dedup.COUNTED]
+            return [min(n, 127) for n in (*own, len(text) - sum(own))]
+
+        for (a, b), near in found.items():
+            apart = [n - m for n, m in zip(counts(texts[a]), counts(texts[b]), strict=True)]
+            most = max(sum(d for d in apart if d > 0), -sum(d for d in apart if d < 0))
+            assert near == (most <= max(len(texts[a]), len(texts[b])) * (100 - percent) // 100), (texts[a], texts[b])
+
+
 def test_recall_of_edited_lines(spark):
     """Edits of 5% and 9% of the characters, spread evenly (one in every second word, or in every one) or at random, in short and long words."""
     rng = random.Random(31)
